@@ -2,17 +2,33 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, url_filter
+from . import exact_dedup, mixing, near_dedup, packing, token_counts, url_filter
 from .scratch import table
 
 
+def op1_token_counts(spark, sf_dir):
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op7_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op9_near_dedup(spark, sf_dir):
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark, sf_dir):
     return url_filter.url_filter(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_mixing, op7_packing, op9_near_dedup, op10_url_filter)}
 ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE, "op10_url_filter": url_filter.oracle()}
