@@ -1,8 +1,64 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: from raw documents to packed training sequences.
 
-STAGES = []
+Each stage takes ``(spark, docs, sf_dir)``; a driver writes its result as Parquet
+and hands what it reads back to the next one.  All stages but the last return the
+columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quillon.llm import exact_dedup, mixing, near_dedup, packing, quality, scratch
+
+
+def quality_stage(spark, docs, sf_dir):
+    """Documents that the quality classifier rejects go."""
+    return quality.keep_good(docs, scratch.table(spark, sf_dir, "labels"))
+
+
+def exact_dedup_stage(spark, docs, sf_dir):
+    """Of documents with equal normalised texts one stays."""
+    found = exact_dedup.exact_dedup(docs, carry=docs.columns, prefix="_dedup_")
+    return found.filter("_dedup_kept").select(*docs.columns)
+
+
+def near_dedup_stage(spark, docs, sf_dir):
+    """Of each group of near duplicates (word 5-shingles, similarity 0.8 or more) the smallest id stays."""
+    scratch.ship(spark)
+    found = near_dedup.near_dedup(docs, percent=80)
+    return docs.join(found.filter("kept").select(F.col("doc_id").alias("_kept")), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+
+
+def mixing_stage(spark, docs, sf_dir):
+    """Each source gets its tempered share of the token budget: its documents in whole epochs and a part."""
+    scratch.ship(spark)
+    return mixing.mix_documents(docs)
+
+
+def packing_stage(spark, docs, sf_dir):
+    """The documents' pieces with their places in sequences of 4096 tokens."""
+    scratch.ship(spark)
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("exact dedup", exact_dedup_stage),
+    ("MinHash near-dedup", near_dedup_stage),
+    ("mixing sources to target weights", mixing_stage),
+    ("best-fit packing", packing_stage),
+]
+
+#: The classifier, the tokens and the packing can't be expressed in SQL.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    raise NotImplementedError
+    """All stages over the whole of ``documents``."""
+    docs = scratch.table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = scratch.stash(docs, "stage")
+    return docs
