@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 # Fixed values of the dataset format: magic, header layout and size.
 MAGIC = b"HYDSET2\0"
-HEADER = struct.Struct("<8sIIQIIII")
+HEADER = "<8sIIQIIII"
+HEADER_BYTES = 40
 #: Headered query files have at most this many components.
 MOST_DIM = 4096
 MOST_TERMS = 10_000_000
@@ -30,9 +31,9 @@ class FormatError(ValueError):
 
 def read_header(raw: bytes) -> tuple[int, int, int]:
     """``(documents, dim, tag_num)``."""
-    if len(raw) < HEADER.size:
+    if len(raw) < HEADER_BYTES:
         raise FormatError("file too small for its header")
-    magic, _, _, docs, dim, tags, _, _ = HEADER.unpack_from(raw)
+    magic, _, _, docs, dim, tags, _, _ = struct.unpack_from(HEADER, raw)
     if magic != MAGIC:
         raise FormatError("bad magic")
     return docs, dim, tags
@@ -45,7 +46,7 @@ def encode_dataset(vectors: np.ndarray, tags: Iterable[Iterable[int]], tag_num:
     for d, some in enumerate(tags):
         for t in some:
             words[d, t >> 6] |= np.uint64(1) << np.uint64(t & 63)
-    head = HEADER.pack(MAGIC, 1, 0, len(vectors), vectors.shape[1] if vectors.ndim == 2 else 0, tag_num, 0, 0)
+    head = struct.pack(HEADER, MAGIC, 1, 0, len(vectors), vectors.shape[1] if vectors.ndim == 2 else 0, tag_num, 0, 0)
     return head + vectors.tobytes() + words.tobytes()
 
 
@@ -71,10 +72,10 @@ def read_dataset(spark: SparkSession, path: str, chunk: int = 65536, offset: int
             return f.read(n)
 
     try:
-        docs, dim, tag_num = read_header(part(0, HEADER.size))
+        docs, dim, tag_num = read_header(part(0, HEADER_BYTES))
     except (FileNotFoundError, OSError) as e:
         raise FormatError(f"cannot open {path}") from e
-    if offset >= docs and (offset or docs == 0) and offset > 0:
+    if offset and offset >= docs:
         raise FormatError(f"offset {offset} is not below {docs} documents")
     end = docs if not count else min(docs, offset + count)
     stride = -(-tag_num // 64)
@@ -84,8 +85,8 @@ def read_dataset(spark: SparkSession, path: str, chunk: int = 65536, offset: int
             for k in f["id"]:
                 lo = offset + int(k) * chunk
                 n = min(end, lo + chunk) - lo
-                raw = part(HEADER.size + lo * dim * 4, n * dim * 4)
-                bits = part(HEADER.size + docs * dim * 4 + lo * stride * 8, n * stride * 8)
+                raw = part(HEADER_BYTES + lo * dim * 4, n * dim * 4)
+                bits = part(HEADER_BYTES + docs * dim * 4 + lo * stride * 8, n * stride * 8)
                 if len(raw) < n * dim * 4 or len(bits) < n * stride * 8:
                     raise FormatError("file ends within its documents")
                 words = np.frombuffer(bits, "<u8").reshape(n, stride)
