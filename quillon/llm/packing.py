@@ -83,9 +83,9 @@ def best_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int]]:
 def local_search(lengths: np.ndarray, bins: np.ndarray, capacity: int) -> np.ndarray:
     """Empty underfull bins; the new bin of each piece.
 
-    A step takes the least filled bin and, of its documents from the longest, moves
+    A step takes an underfull bin, the least filled first, and, of its documents from the longest, moves
     one into the fullest bin that holds it, or exchanges one or two for a shorter
-    one of another bin that still fits.  Each step raises the sum of squared fills,
+    one of a bin at least as full that still fits.  Each step raises the sum of squared fills,
     so the search ends; it stops early once as few bins are left as the total needs.
     """
     bins = bins.copy()
@@ -95,8 +95,13 @@ def local_search(lengths: np.ndarray, bins: np.ndarray, capacity: int) -> np.nda
     item, size = open_items, lengths[open_items].astype(np.int64)
     where = bins[open_items].copy()
     todo = sorted((int(fill[b]), int(b)) for b in np.unique(where))
-    left = int((fill > 0).sum())
-    while todo and left > least:
+    left, changed = int((fill > 0).sum()), False
+    while left > least:
+        if not todo:  # a step may have opened others: go on until a whole pass finds none
+            if not changed:
+                break
+            todo, changed = sorted((int(fill[b]), int(b)) for b in np.unique(where) if 0 < fill[b] < capacity), False
+            continue
         _, src = todo.pop(0)
         while fill[src] > 0:
             own = np.flatnonzero(where == src)
@@ -115,6 +120,7 @@ def local_search(lengths: np.ndarray, bins: np.ndarray, capacity: int) -> np.nda
                     done = True
                     break
             if done:
+                changed = True
                 continue
             room = np.where((where != src) & (fill[where] >= fill[src]), free[where], 0)
             best = (0, -1, ())
@@ -136,6 +142,7 @@ def local_search(lengths: np.ndarray, bins: np.ndarray, capacity: int) -> np.nda
             gain, j, out = best
             if not gain:
                 break
+            changed = True
             dst = where[j]
             fill[src] -= gain
             fill[dst] += gain

@@ -2,8 +2,9 @@
 
 A text's ids are the concatenation of the ids of its chunks between white space,
 so every worker keeps a bounded cache of chunks and sends only unseen ones to the
-merge loop.  What the chunk rule doesn't cover goes to the tokenizer library as a
-whole: special-token strings and the separators U+001C to U+001F.
+merge loop.  What that doesn't cover goes to the tokenizer library: texts with
+special-token strings or the separators U+001C to U+001F, and chunks with
+characters beyond the basic plane or without an assigned category.
 """
 
 from __future__ import annotations
@@ -50,9 +51,13 @@ class WordBPE:
 
     def _chunk(self, chunk: str) -> bytes:
         ids: list[int] = []
-        for word in self.words(chunk):
-            raw = word.encode() + _END
-            ids += self.merge(raw) if len(raw) < LONG else self.whole.encode(word, add_special_tokens=False).ids
+        # character tables of different ages differ on what is beyond the basic plane or not assigned
+        if not chunk.isascii() and any(c > "\uffff" or unicodedata.category(c) == "Cn" for c in chunk):
+            ids = self.whole.encode(chunk, add_special_tokens=False).ids
+        else:
+            for word in self.words(chunk):
+                raw = word.encode() + _END
+                ids += self.merge(raw) if len(raw) < LONG else self.whole.encode(word, add_special_tokens=False).ids
         if len(self.cache) >= CACHE:
             self.cache.clear()
         self.cache[chunk] = found = np.array(ids, "<u4").tobytes()
