@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from . import tokens
+from . import scratch, tokens
 
 #: Lengths to a block of the two-level suffix sums.
 BLOCK = 512
@@ -72,7 +72,8 @@ def token_counts(docs: DataFrame, tokenizer: str = tokens.DEFAULT, text_col: str
     Every row counts, repeated ones as often as they occur; null texts have
     length 0.  An empty table gives an empty result.  Other columns are ignored.
     """
-    return suffix_table(length_histogram(docs, tokenizer, text_col))
+    # the sums read the histogram twice: without the table every text would be encoded twice
+    return suffix_table(scratch.stash(length_histogram(docs, tokenizer, text_col), "histogram"))
 
 
 def at_limits(table: DataFrame, limits: list[int]) -> DataFrame:
