@@ -418,6 +418,11 @@ def topk_filtered(spark, sf_dir):
     return published(search.topk(docs(spark, sf_dir), queries(spark, sf_dir)))
 
 
+@add(_TOP16)
+def topk_blocks(spark, sf_dir):
+    return published(search.topk_blocks(docs(spark, sf_dir), queries(spark, sf_dir)))
+
+
 @add(WITH + "SELECT qid, rk AS rank, doc_id, round(s16, 6) AS score FROM r16 WHERE rk <= 1 + qid % 3 * 7")
 def topk_per_query_k(spark, sf_dir):
     q = queries(spark, sf_dir).withColumn("k", (1 + F.col("qid") % 3 * 7).cast("int"))

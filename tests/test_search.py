@@ -55,6 +55,8 @@ def test_topk_equals_brute_force(spark, levels, f16):
     for options in ({}, {"shard_col": "shard_id"}):
         got = sorted(tuple(x) for x in search.topk(d, q, f16, **options).collect())
         assert got == sorted(want)
+    if f16:
+        assert sorted(tuple(x) for x in search.topk_blocks(d.repartition(3), q).collect()) == sorted(want)
     folded = sorted(tuple(x) for x in ingest.fold_shards(d, q, "shard_id", [0, 1, 2], f16).collect())
     assert folded == sorted(want)
 
