@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from ..plans.filters import And, MatchAll, Node, Not, Or, Term, Terms, terms
+
 
 def half(v: np.ndarray) -> np.ndarray:
     """Rounded to half precision; subnormals become 0, infinite values NaN."""
@@ -24,8 +26,38 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return scores[order], ids[order]
 
 
-def block_top_k(vectors: list, fids: list[int], ks: list[int], qids: list[int], f16: bool):
-    """A function over Arrow batches of ``doc_id``, ``vec``, ``bits`` (one for each filter)."""
+def matches(node: Node, held: np.ndarray, at: dict[int, int]) -> np.ndarray:
+    """Which documents a flattened filter matches; column ``at[t]`` of ``held`` tells who has tag t."""
+    match node:
+        case MatchAll():
+            return np.ones(len(held), bool)
+        case Term(tag):
+            return held[:, at[tag]]
+        case Terms(tags):
+            return held[:, [at[t] for t in tags]].any(axis=1)
+        case Not(child):
+            return ~matches(child, held, at)
+        case And(parts):
+            return np.logical_and.reduce([matches(p, held, at) for p in parts])
+        case Or(parts):
+            return np.logical_or.reduce([matches(p, held, at) for p in parts])
+    raise TypeError(node)
+
+
+def tag_matrix(values: np.ndarray, lengths: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """Documents by used tags; ``values`` are all documents' tags in a row, ``used`` is sorted."""
+    held = np.zeros((len(lengths), len(used)), bool)
+    if len(used) and len(values):
+        place = np.minimum(np.searchsorted(used, values), len(used) - 1)
+        hit = used[place] == values
+        held[np.repeat(np.arange(len(lengths)), lengths)[hit], place[hit]] = True
+    return held
+
+
+def block_top_k(vectors: list, trees: list[Node], fids: list[int], ks: list[int], qids: list[int], f16: bool):
+    """A function over Arrow batches of ``doc_id``, ``vec``, ``tags``; ``trees`` are the flattened filters."""
+    used = np.array(sorted({t for tree in trees for t in terms(tree)}), np.int64)
+    columns = {int(t): k for k, t in enumerate(used)}
     q = np.array(vectors, np.float64).reshape(len(vectors), -1)
     q = half(q) if f16 else q
 
@@ -42,10 +74,12 @@ def block_top_k(vectors: list, fids: list[int], ks: list[int], qids: list[int],
             if len(v) != b.num_rows * q.shape[1]:
                 raise ValueError("a document's vector has another length than the queries'")
             v = v.reshape(b.num_rows, q.shape[1])
-            bits = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            lengths = b.column(2).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            held_tags = tag_matrix(b.column(2).flatten().to_numpy(zero_copy_only=False), lengths, used)
+            bits = [matches(t, held_tags, columns) for t in trees]
             scores = (half(v) if f16 else v) @ q.T
             for i, (fid, k) in enumerate(zip(fids, ks, strict=True)):
-                at = np.flatnonzero(bits[:, fid])
+                at = np.flatnonzero(bits[fid])
                 s = scores[at, i]
                 if len(held[i][0]) >= k:
                     ok = s >= held[i][0][-1]

@@ -92,21 +92,24 @@ def topk(docs: DataFrame, queries: DataFrame, f16: bool = True, shard_col: str |
 def topk_blocks(docs: DataFrame, queries: DataFrame, f16: bool = True) -> DataFrame:
     """The same results as :func:`topk`, scored a block of documents against all queries at once.
 
-    The filters are tested as columns; a task multiplies its documents' matrix with
+    A task tests the filters on a matrix of its documents and the filters' tags, multiplies its documents' matrix with
     the queries' and keeps each query's ``k`` best over all its blocks, so it hands on
     no more rows than the queries ask for.  With half-precision inputs the sums are
     exact in doubles (scores below 32), so their order doesn't matter.
     """
     from ..functions.blocks import block_top_k
+    from ..runtime import ship
+
+    ship(docs.sparkSession)
 
     parts = []
     for part, texts in _batches(queries):
         held = part.select("qid", F.col("vec").cast("array<double>").alias("vec"), "k", "fid").orderBy("qid").collect()  # a batch
         if not held:
             continue
-        bits = F.array(*[filters.to_column(filters.parse(t), F.col("tags")) for t in texts])
-        rows = docs.select("doc_id", F.col("vec").cast("array<double>").alias("vec"), bits.alias("bits"))
-        run = block_top_k([r["vec"] for r in held], [r["fid"] for r in held], [r["k"] for r in held], [r["qid"] for r in held], f16)
+        rows = docs.select("doc_id", F.col("vec").cast("array<double>").alias("vec"), F.col("tags").cast("array<bigint>").alias("tags"))
+        trees = [filters.flatten(filters.parse(t)) for t in texts]
+        run = block_top_k([r["vec"] for r in held], trees, [r["fid"] for r in held], [r["k"] for r in held], [r["qid"] for r in held], f16)
         found = rows.mapInArrow(run, "qid long, k int, doc_id long, score double")
         parts.append(rank(found, max(r["k"] for r in held)).select("qid", "rank", "doc_id", "score"))
     if not parts:
