@@ -1,11 +1,13 @@
 """The registered queries of the engine, each with DuckDB SQL for the same rows.
 
-They run over a corpus made from ``embeddings``: tags from the id and the label,
-segments of 128 documents, 4 shards, and 20 queries with ten different filters.
+They run over a corpus made from the whole of ``embeddings``: tags from the id and
+the label, segments of 128 documents, 4 shards.  The queries are all rows whose id
+is divisible by 20; they take ten different filters in turn.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -20,7 +22,7 @@ from .streaming import ingest
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-TAG_NUM, SEGMENT, SHARDS, THRESHOLD, N_QUERIES = 130, 128, 4, 0.2, 20
+TAG_NUM, SEGMENT, SHARDS, THRESHOLD, EVERY = 130, 128, 4, 0.2, 20
 FILTERS = ["", "3", "3 AND 12", "3 OR 25 OR 41", "NOT 3", "(1 OR 2) AND NOT (13 OR 44)", "999", "3 AND NOT 3", "100 OR (25 AND 11)", "101 AND 100"]
 
 
@@ -55,9 +57,15 @@ def sharded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries(spark: SparkSession, sf_dir: str, k=None) -> DataFrame:
-    text = F.element_at(F.array(*map(F.lit, FILTERS)), (F.col("doc_id") % len(FILTERS) + 1).cast("int"))
-    d = docs(spark, sf_dir).filter(F.col("doc_id") < N_QUERIES)
-    return d.select(F.col("doc_id").alias("qid"), "vec", text.alias("filter"), (5 + F.col("doc_id") % 6 if k is None else F.lit(k)).cast("int").alias("k"))
+    place = F.floor(F.col("doc_id") / EVERY)
+    text = F.element_at(F.array(*map(F.lit, FILTERS)), (place % len(FILTERS) + 1).cast("int"))
+    d = docs(spark, sf_dir).filter(F.col("doc_id") % EVERY == 0)
+    return d.select(F.col("doc_id").alias("qid"), "vec", text.alias("filter"), (5 + place % 6 if k is None else F.lit(k)).cast("int").alias("k"))
+
+
+def fid(qid: str = "qid"):
+    """The number of a query's filter."""
+    return F.floor(F.col(qid) / EVERY) % len(FILTERS)
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +96,7 @@ WITH = f"""WITH d AS (SELECT vec_id AS doc_id, CAST(embedding AS DOUBLE[]) AS ve
   list_concat([CAST(label AS BIGINT), 10 + vec_id % 7, 20 + vec_id % 13, 40 + vec_id % 31, 101], CASE WHEN vec_id % 50 = 0 THEN [CAST(100 AS BIGINT)] ELSE CAST([] AS BIGINT[]) END) AS tags,
   vec_id // {SEGMENT} AS segment_id, vec_id % {SEGMENT} AS local_id,
   least(vec_id // ((SELECT count(*) FROM embeddings) // {SHARDS}), {SHARDS - 1}) AS shard_id FROM embeddings),
-q AS (SELECT doc_id AS qid, vec AS qvec, half AS qhalf, 5 + doc_id % 6 AS k, doc_id % {len(FILTERS)} AS fid FROM d WHERE doc_id < {N_QUERIES}),
+q AS (SELECT doc_id AS qid, vec AS qvec, half AS qhalf, 5 + doc_id // {EVERY} % 6 AS k, doc_id // {EVERY} % {len(FILTERS)} AS fid FROM d WHERE doc_id % {EVERY} = 0),
 e AS (SELECT doc_id, segment_id, local_id, unnest(list_distinct(tags)) AS tag FROM d),
 f AS (SELECT t.tag, count(e.doc_id) AS doc_freq FROM range({TAG_NUM}) t(tag) LEFT JOIN e ON e.tag = t.tag GROUP BY t.tag),
 p0 AS (SELECT tag, segment_id, count(DISTINCT local_id) AS hit_count, count(DISTINCT local_id // 16) AS unit_count FROM e GROUP BY tag, segment_id),
@@ -134,17 +142,18 @@ def filter_lines(spark, sf_dir):
     return _lines(spark).select("fid", F.rtrim("expr").alias("expr"), (F.trim("expr") == "").alias("match_all"))
 
 
-@add(WITH + "SELECT qid, fid FROM q WHERE qid < 10")
+@add(WITH + "SELECT qid, row_number() OVER (ORDER BY qid) - 1 AS fid FROM q")
 def filter_assign(spark, sf_dir):
     from .sources import text
 
-    return text.assign_filters(queries(spark, sf_dir).filter(F.col("qid") < len(FILTERS)), _lines(spark)).select(*ids("qid", "fid"))
+    q = queries(spark, sf_dir)
+    return text.assign_filters(q, spark.range(q.count()).withColumnRenamed("id", "fid")).select(*ids("qid", "fid"))
 
 
-@add(WITH + "SELECT i AS qid, q.qid AS stored, q.k FROM range(50) t(i) JOIN q ON q.qid = i % 20")
+@add(WITH + ", o AS (SELECT qid, k, row_number() OVER (ORDER BY qid) - 1 AS place, count(*) OVER () AS n FROM q) SELECT i AS qid, o.qid AS stored, o.k FROM range(250) t(i) JOIN o ON o.place = i % o.n")
 def query_cycle(spark, sf_dir):
     q = queries(spark, sf_dir).withColumn("stored", F.col("qid"))
-    return search.cycle(q, 50).select(*ids("qid", "stored", "k"))
+    return search.cycle(q, 250).select(*ids("qid", "stored", "k"))
 
 
 _RECORDS = [
@@ -195,8 +204,6 @@ def filter_bitmap(spark, sf_dir):
     return reduce(DataFrame.unionAll, parts)
 
 
-_POSITIONS = [(k, i, t) for k, text in enumerate(FILTERS) for i, t in enumerate(filters.terms(filters.parse(text)))]
-
 
 @add("SELECT CAST(qid AS BIGINT) AS qid, CAST(position AS BIGINT) AS position, CAST(tag AS BIGINT) AS tag FROM (VALUES (1,0,3),(2,0,3),(2,1,12),(3,0,3),(3,1,25),(3,2,41),(4,0,3),(5,0,1),(5,1,2),(5,2,13),(5,3,44),(6,0,999),(7,0,3),(7,1,3),(8,0,100),(8,1,25),(8,2,11),(9,0,101),(9,1,100)) AS v(qid, position, tag)")
 def filter_terms(spark, sf_dir):
@@ -266,7 +273,7 @@ _posting_query("posting_conjunction", filters.Conjunction((filters.Terms((1, 2,
 
 @add(WITH + "SELECT qid, doc_id FROM m")
 def posting_batch(spark, sf_dir):
-    trees = {q: filters.parse(FILTERS[q % len(FILTERS)]) for q in range(N_QUERIES)}
+    trees = {r["qid"]: filters.parse(r["filter"]) for r in queries(spark, sf_dir).select("qid", "filter").collect()}  # a batch of queries
     return postings_algebra.match_batch(trees, entries(spark, sf_dir), docs(spark, sf_dir)).select(*ids("qid", "doc_id"))
 
 
@@ -359,9 +366,9 @@ def vector_f16(spark, sf_dir):
     return corpus.prepare(docs(spark, sf_dir)).select("doc_id", F.posexplode("vec").alias("component", "value")).select(*ids("doc_id", "component"), "value")
 
 
-@add(WITH + "SELECT qid, doc_id, round(list_inner_product(vec, qvec), 6) AS score FROM d, q WHERE qid < 5")
+@add(WITH + "SELECT qid, doc_id, round(list_inner_product(vec, qvec), 6) AS score FROM d, q")
 def inner_product(spark, sf_dir):
-    q = F.broadcast(queries(spark, sf_dir).filter("qid < 5").select("qid", F.col("vec").alias("qvec")))
+    q = F.broadcast(queries(spark, sf_dir).select("qid", F.col("vec").alias("qvec")))
     return docs(spark, sf_dir).join(q, F.lit(True)).select("qid", "doc_id", F.round(vectors.dot(F.col("vec"), F.col("qvec")), 6).alias("score"))
 
 
@@ -423,21 +430,21 @@ def topk_blocks(spark, sf_dir):
     return published(search.topk_blocks(docs(spark, sf_dir), queries(spark, sf_dir)))
 
 
-@add(WITH + "SELECT qid, rk AS rank, doc_id, round(s16, 6) AS score FROM r16 WHERE rk <= 1 + qid % 3 * 7")
+@add(WITH + "SELECT qid, rk AS rank, doc_id, round(s16, 6) AS score FROM r16 WHERE rk <= 1 + qid // 20 % 3 * 7")
 def topk_per_query_k(spark, sf_dir):
-    q = queries(spark, sf_dir).withColumn("k", (1 + F.col("qid") % 3 * 7).cast("int"))
+    q = queries(spark, sf_dir).withColumn("k", (1 + F.floor(F.col("qid") / EVERY) % 3 * 7).cast("int"))
     return published(search.topk(docs(spark, sf_dir), q))
 
 
 @add(WITH + "SELECT qid, rk AS rank, doc_id, round(s16, 6) AS score FROM r16 WHERE fid IN (2, 8, 9)")
 def topk_k_exceeds(spark, sf_dir):
-    q = queries(spark, sf_dir, 1_000_000).filter((F.col("qid") % len(FILTERS)).isin(2, 8, 9))
+    q = queries(spark, sf_dir, 1_000_000).filter(fid().isin(2, 8, 9))
     return published(search.topk(docs(spark, sf_dir), q))
 
 
 @add(WITH + "SELECT qid, rk AS rank, doc_id, round(s16, 6) AS score FROM r16 WHERE fid IN (6, 7)")
 def topk_empty(spark, sf_dir):
-    q = queries(spark, sf_dir).filter((F.col("qid") % len(FILTERS)).isin(6, 7))
+    q = queries(spark, sf_dir).filter(fid().isin(6, 7))
     return published(search.topk(docs(spark, sf_dir), q))
 
 
@@ -483,10 +490,34 @@ def docid_lookup(spark, sf_dir):
     return corpus.to_global(wanted, corpus.id_map(docs(spark, sf_dir)))
 
 
-@add(WITH + "SELECT doc_id, segment_id, local_id FROM d WHERE doc_id % 37 = 0")
+@add(WITH + "SELECT doc_id, segment_id, local_id FROM d")
 def docid_to_local(spark, sf_dir):
     d = docs(spark, sf_dir)
-    return corpus.to_local(d.filter("doc_id % 37 = 0").select("doc_id"), corpus.id_map(d))
+    return corpus.to_local(d.select("doc_id"), corpus.id_map(d))
+
+
+@add(WITH + "SELECT 'doc-' || doc_id AS sdoc_id, doc_id, segment_id, local_id FROM d")
+def sdocid_lookup(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    held = corpus.id_map(d).withColumn("sdoc_id", F.concat(F.lit("doc-"), F.col("doc_id")))
+    asked = d.select(F.concat(F.lit("doc-"), F.col("doc_id")).alias("sdoc_id")).unionAll(spark.createDataFrame([("doc-x",)], "sdoc_id string"))
+    return corpus.from_strings(asked, held).select("sdoc_id", *ids("doc_id", "segment_id", "local_id"))
+
+
+@add("SELECT count(*) AS rows, count(DISTINCT source || '#' || lang) AS tokens FROM documents")
+def token_hash(spark, sf_dir):
+    d = _read(spark, sf_dir, "documents")
+    return d.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(corpus.token(F.col("source"), F.col("lang"))).alias("tokens"))
+
+
+@add("SELECT vec_id, CAST(label AS BIGINT) AS label, CAST(len(embedding) AS BIGINT) AS dim FROM embeddings")
+def stream_ingest(spark, sf_dir):
+    from .runtime import shared_dir
+
+    base = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex[:8]}"
+    schema = _read(spark, sf_dir, "embeddings").schema
+    rows = ingest.ingest(spark, f"{sf_dir}/embeddings.parque[t]", schema, f"{base}/table", f"{base}/progress", ["vec_id"], "vec_id")
+    return rows.select(*ids("vec_id", "label"), F.size("embedding").cast("long").alias("dim"))
 
 
 # --- corpus statistics ---
@@ -719,6 +750,17 @@ def shard_latency_decomp(spark, sf_dir):
     return s.select("n", *[F.round(c, 5).alias(c) for c in ("max_shard", "merge", "overhead", "tax", "spread")])
 
 
+@add(_SHARD + ", x AS (SELECT i - 1 AS shard, sh[i] AS ms FROM g, range(1, 4) t(i)), o AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY ms) - 1 AS at_, count(*) OVER (PARTITION BY shard) AS n_ FROM x) SELECT shard, round(avg(ms), 5) AS mean, round(max(ms), 5) AS high, " + ", ".join(f"round({_percentile_sql('ms', p)}, 5) AS {k}" for k, p in {"p50": 0.5, "p99": 0.99}.items()) + " FROM o GROUP BY shard")
+def shard_percentiles(spark, sf_dir):
+    s = stats.shard_percentiles(_shard_rows(spark, sf_dir))
+    return s.select(*ids("shard"), *[F.round(c, 5).alias(c) for c in ("mean", "high", "p50", "p99")])
+
+
+@add(WITH + ", n AS (SELECT count(*) AS n FROM d) SELECT band, count(*) AS tags, round(avg(share), 6) AS mean_share FROM (SELECT doc_freq / n AS share, CASE WHEN doc_freq / n >= 0.999 THEN 'always' WHEN doc_freq / n >= 0.9 THEN 'universal' WHEN doc_freq / n >= 0.05 THEN 'common' WHEN doc_freq / n >= 0.01 THEN 'low' ELSE 'rare' END AS band FROM f, n WHERE doc_freq > 0) GROUP BY band")
+def profile_constants(spark, sf_dir):
+    return stats.profile_bands(frequencies(spark, sf_dir), docs(spark, sf_dir).count()).withColumn("mean_share", F.round("mean_share", 6))
+
+
 @add(_SHARD + "SELECT CAST(list_position(sh, worst) - 1 AS BIGINT) AS shard, round(count(*) / (SELECT count(*) FROM w), 6) AS share FROM w GROUP BY 1")
 def straggler_share(spark, sf_dir):
     return stats.straggler_share(_shard_rows(spark, sf_dir)).select(*ids("shard"), F.round("share", 6).alias("share"))
@@ -761,9 +803,9 @@ def threshold_interp(spark, sf_dir):
 # --- batches and arrivals ---
 
 
-@add(WITH + "SELECT batch, batch % 3 AS worker, count(*) AS queries FROM (SELECT qid // 8 AS batch FROM q) GROUP BY batch")
+@add(WITH + "SELECT batch, batch % 3 AS worker, count(*) AS queries FROM (SELECT qid // 160 AS batch FROM q) GROUP BY batch")
 def batch_schedule(spark, sf_dir):
-    b = ingest.static_assignment(ingest.query_batches(queries(spark, sf_dir), 8), 3)
+    b = ingest.static_assignment(ingest.query_batches(queries(spark, sf_dir), 8 * EVERY), 3)
     return b.groupBy("batch", "worker").agg(F.count(F.lit(1)).alias("queries"))
 
 

@@ -60,6 +60,16 @@ def to_global(local: DataFrame, ids: DataFrame) -> DataFrame:
     return local.join(ids, ["segment_id", "local_id"])
 
 
+def from_strings(names: DataFrame, ids: DataFrame, name_col: str = "sdoc_id") -> DataFrame:
+    """Rows with string ids get their ``doc_id`` and places from ``ids``, which has both; unknown ones are left out."""
+    return names.join(ids, name_col)
+
+
+def token(field: Column, term: Column) -> Column:
+    """A 64-bit surrogate of a field's term."""
+    return F.xxhash64(field, term)
+
+
 def to_local(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(ids, "doc_id")
 

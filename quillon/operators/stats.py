@@ -207,3 +207,19 @@ def ab_compare(rows: DataFrame, arm: str, value: str, baseline: str) -> DataFram
 def hash_sample(df: DataFrame, key: Column, share_of: int) -> DataFrame:
     """About one row in ``share_of``, the same ones on every engine (a linear hash of an integer key)."""
     return df.filter(F.pmod(key * 2654435761, F.lit(1 << 32)) % share_of == 0)
+
+
+def shard_percentiles(rows: DataFrame) -> DataFrame:
+    """``shard``, ``mean``, ``p50``, ``p99``, ``high`` of each shard's own time."""
+    each = rows.select(F.posexplode("shard_ms").alias("shard", "ms"))
+    basic = each.groupBy("shard").agg(F.avg("ms").alias("mean"), F.max("ms").alias("high"))
+    return basic.join(order_percentiles(each, "ms", {"p50": 0.5, "p99": 0.99}, ["shard"]), "shard")
+
+
+def profile_bands(freq: DataFrame, docs: int) -> DataFrame:
+    """``band``, ``tags``, ``mean_share``: the populations that :func:`~quillon.operators.synthetic.banded_corpus` takes."""
+    share = F.col("doc_freq") / docs
+    band = F.lit(None).cast("string")
+    for name, least in BANDS:
+        band = F.coalesce(band, F.when(share >= least, F.lit(name)))
+    return freq.filter("doc_freq > 0").select(band.alias("band"), share.alias("s")).groupBy("band").agg(F.count(F.lit(1)).alias("tags"), F.avg("s").alias("mean_share"))

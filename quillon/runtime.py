@@ -1,4 +1,4 @@
-"""Making this package importable on the executors."""
+"""What a session needs: the package on the executors, and a folder that all share."""
 
 from __future__ import annotations
 
@@ -28,3 +28,22 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f.relative_to(_ROOT))
     context.addPyFile(str(target))
     context._quillon_shipped = True
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The application's folder below ``spark.checkpoint.dir``, as a full URI.
+
+    Only where that setting is absent (tests on one machine) a temporary folder is
+    made and set as the checkpoint folder.
+    """
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        made = context._jsc.sc().getCheckpointDir()
+        base = made.get() if made.isDefined() else None
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="quillon-checkpoints-")
+        context.setCheckpointDir(base)
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/quillon-{context.applicationId}")
+    full = path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file://") else full
