@@ -119,8 +119,9 @@ def disclosing_terms(holders: DataFrame, docs: DataFrame, rows: int, share: floa
     joint = scratch.stash(joint, "joint")
     # in how many rows a term occurs: counted over the whole corpus, summed before the shuffle
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TERM), F.lit(0)))).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("nt"))
-    known = joint.join(words.join(joint.select("t").distinct(), "t", "left_semi"), "t", "left")
-    nt = F.greatest(F.coalesce("nt", "nj"), "nj")
+    # an inner join stays above the count; a semi join would be pushed below it and shuffle every word
+    known = joint.join(words, "t")
+    nt = F.greatest("nt", "nj")
     content = F.log2(F.lit(float(rows)) / F.col("ne"))
     information = F.log2(F.col("nj") * F.lit(float(rows)) / (nt * F.col("ne")))
     rated = known.withColumn("r", F.when(content > 0, information / content)).filter(F.col("r") >= share)
