@@ -7,8 +7,9 @@ cut into groups by comparing neighbouring keys in full.
 The splitter key is ``(first code points, 64-bit hash, salt)`` of the normalised
 text: the driver samples keys of bounded length, never whole documents, and a
 prefix that many documents share still spreads over ranges.  A text that fills
-more than a range by itself gets as many salts as it fills ranges; its runs (at
-most two for each range in all) are merged afterwards by their full text.
+more than a range by itself gets as many salts as it fills ranges.  Its size and
+its row that stays are summed up before that, map-side, and given to its runs by
+the SHA-256 of the normalised text; there is at most one such text for each range.
 """
 
 from __future__ import annotations
@@ -54,31 +55,25 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     ranges = scratch.partitions(spark)
     most = max(LEAST_HOT, -(-rows.count() // ranges))
-    # at most one hot text for each range: each has more than rows / ranges rows
-    hot = (
-        rows.select(F.xxhash64(norm).alias("_h")).groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most)
-        .select("_h", F.ceil(F.col("_n") / most).cast("int").alias("_salts"))
-    )
-    salted = keyed.join(F.broadcast(hot), "_h", "left").withColumn(
-        "_salt", F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("_id"), F.col("_salts")).cast("int"))
-    )
+    cp = F.length(F.coalesce("_text", F.lit("")))
+    # texts that fill a range: at most one for each range, as each has more than rows / ranges rows
+    counted = keyed.select("_h", F.sha2(norm, 256).alias("_sha"), F.struct(-cp, F.col("_id").isNull(), F.col("_id").alias("id")).alias("_key"))
+    hot = counted.groupBy("_h", "_sha").agg(F.count(F.lit(1)).alias("_total"), F.min("_key").alias("_best")).filter(F.col("_total") > most)
+    hot = scratch.stash(hot.select("_h", "_sha", "_total", F.col("_best.id").alias("_best"), F.ceil(F.col("_total") / most).cast("int").alias("_salts")), "hot")
+    salts = hot.groupBy("_h").agg(F.max("_salts").alias("_salts"))
+    salted = keyed.join(F.broadcast(salts), "_h", "left").withColumn("_salt", F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("_id"), F.col("_salts")).cast("int")))
 
     runs = salted.repartitionByRange("_p", "_h", "_salt").withColumn("_norm", norm)
     key = Window.partitionBy("_p", "_h", "_salt", "_norm")
     first = key.orderBy(F.length("_text").desc_nulls_last(), F.col("_id").asc_nulls_last())
-    runs = runs.withColumns({"_rank": F.row_number().over(first), "_keep": F.first("_id").over(first), "_size": F.count(F.lit(1)).over(key), "_sha": F.sha2("_norm", 256), "_cp": F.length(F.coalesce("_text", F.lit("")))})
-
-    heads = runs.filter((F.col("_rank") == 1) & F.col("_salts").isNotNull())
-    merged = heads.groupBy("_norm").agg(
-        F.min_by(F.struct("_keep", "_salt"), F.struct(-F.col("_cp"), F.col("_keep").isNull(), F.col("_keep"), F.col("_salt"))).alias("_best"),
-        F.sum("_size").alias("_total"), F.first("_sha").alias("_sha"),
-    ).select("_sha", "_best", "_total")
-    whole = runs.join(F.broadcast(merged), "_sha", "left")
-    best = F.col("_best").isNotNull()
+    runs = runs.withColumns({"_rank": F.row_number().over(first), "_keep": F.first("_id").over(first), "_size": F.count(F.lit(1)).over(key), "_sha": F.sha2("_norm", 256)})
+
+    whole = runs.join(F.broadcast(hot.select("_sha", "_best", "_total")), "_sha", "left")
+    best = F.col("_total").isNotNull()
     out = {
-        f"{prefix}keep_id": F.when(best, F.col("_best._keep")).otherwise(F.col("_keep")),
+        f"{prefix}keep_id": F.when(best, F.col("_best")).otherwise(F.col("_keep")),
         f"{prefix}group_size": F.coalesce("_total", "_size"),
-        f"{prefix}kept": (F.col("_rank") == 1) & (~best | (F.col("_salt") == F.col("_best._salt"))),
+        f"{prefix}kept": (F.col("_rank") == 1) & (~best | F.col("_keep").eqNullSafe(F.col("_best"))),
         f"{prefix}text_sha256": F.col("_sha"),
     }
     back = {id_col: F.col("_id"), text_col: F.col("_text")}
