@@ -49,4 +49,4 @@ def op10_url_filter(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_mixing, op4_fagin_top_k, op5_pii, op6_quality, op7_packing, op8_warc, op9_near_dedup, op10_url_filter)}
-ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE, "op4_fagin_top_k": fagin.ORACLE, "op8_warc": warc.ORACLE, "op10_url_filter": url_filter.oracle()}
+ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE, "op4_fagin_top_k": fagin.ORACLE, "op8_warc": warc.ORACLE, "op9_near_dedup": near_dedup.ORACLE, "op10_url_filter": url_filter.oracle()}
