@@ -41,3 +41,13 @@ def test_entry_points(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() > 0
+
+
+def test_filters_and_columns_reach_the_scan(spark, sf_dir):
+    plan = catalogue.QUERIES["scan_doc_range"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(vec_id,100)" in plan and "ReadSchema: struct<vec_id:bigint,label:int>" in plan
+
+
+def test_documents_are_not_shuffled_by_a_search(spark, sf_dir):
+    plan = catalogue.QUERIES["topk_filtered"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoopJoin" in plan and plan.count("Exchange hashpartitioning") == 1 and "Partial" in plan
