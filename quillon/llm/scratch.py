@@ -1,4 +1,4 @@
-"""Scratch tables and worker code shipping shared by the operators.
+"""Scratch tables shared by the operators.
 
 Intermediate results that are read more than once are written as Parquet below
 the folder in ``spark.checkpoint.dir``, which driver and executors share.  They
@@ -8,32 +8,13 @@ cut the lineage, so a lost executor costs a reread and not a recomputation.
 from __future__ import annotations
 
 import itertools
-import os
-import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-_ROOT = Path(__file__).resolve().parents[2]
-_COUNT = itertools.count()
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The application's folder below ``spark.checkpoint.dir``.
+from ..runtime import shared_dir, ship
 
-    Only where that setting is absent (tests on one machine) a temporary folder
-    is made and set as the checkpoint folder.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        made = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = made.get() if made.isDefined() else None
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="quillon-checkpoints-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/quillon-{spark.sparkContext.applicationId}"
+_COUNT = itertools.count()
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -54,29 +35,19 @@ def purge(spark: SparkSession) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def ship(spark: SparkSession) -> None:
-    """Make this package importable on the executors.
+#: Rows and bytes of a batch that a Python worker gets at once, at most.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
-    Nothing is done where workers find it already (``PYTHONPATH`` or the working
-    directory); otherwise a zip of the sources is added to the context once.
-    """
-    import public_tokenizers  # noqa: F401  (an early, clear error where it is absent)
 
-    places = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
-    if any(p and os.path.realpath(p) == os.path.realpath(_ROOT) for p in places):
-        return
-    if getattr(spark.sparkContext, "_quillon_shipped", False):
-        return
-    target = Path(tempfile.mkdtemp(prefix="quillon-code-")) / "quillon_code.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for f in sorted((_ROOT / "quillon").rglob("*.py")):
-            z.write(f, f.relative_to(_ROOT))
-    spark.sparkContext.addPyFile(str(target))
-    spark.sparkContext._quillon_shipped = True
+def prepare(spark: SparkSession) -> None:
+    """Ship the package and bound the batches of texts, whose default bound is 10,000 rows of any length."""
+    ship(spark)
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
