@@ -198,7 +198,8 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
                     yield _frame(rows, payloads)
 
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads
-    return archives.select("path").repartition("path").mapInPandas(read, schema)
+    # a task for each archive: the paths are few bytes, so they would else be read by one task
+    return archives.select("path").repartition(max(1, archives.count())).mapInPandas(read, schema)
 
 
 def _frame(rows: list, payloads: bool) -> pd.DataFrame:
