@@ -693,6 +693,11 @@ def empty_operands(spark, sf_dir):
     return pairs.groupBy("qid", "segment_id").agg(F.count(F.lit(1)).alias("operands"), (F.count(F.lit(1)) - F.count("_here")).alias("empty"))
 
 
+@add(WITH + "SELECT w.qid, count(*) AS postings, count(*) FILTER (layout = 'packed') AS converted, CAST(coalesce(sum(unit_count) FILTER (layout = 'packed'), 0) AS BIGINT) AS units FROM (SELECT DISTINCT CAST(qid AS BIGINT) AS qid, CAST(tag AS BIGINT) AS tag FROM (VALUES (1,3),(2,3),(2,12),(3,3),(3,25),(3,41),(4,3),(5,1),(5,2),(5,13),(5,44),(6,999),(7,3),(8,100),(8,25),(8,11),(9,101),(9,100)) AS v(qid, tag)) w JOIN p ON p.tag = w.tag GROUP BY w.qid")
+def bitlist_stats(spark, sf_dir):
+    return quality.conversions(quality.term_rows(spark, dict(enumerate(FILTERS))), postings(spark, sf_dir))
+
+
 @add(WITH + ", n AS (SELECT count(*) AS n FROM d) SELECT qid, count(m.doc_id) AS matches, round(count(m.doc_id) / min(n), 6) AS share FROM q LEFT JOIN m USING (qid) CROSS JOIN n GROUP BY qid")
 def filter_selectivity(spark, sf_dir):
     d, q = docs(spark, sf_dir), queries(spark, sf_dir)

@@ -68,6 +68,13 @@ def diagnose(terms: DataFrame, postings: DataFrame, frequencies: DataFrame) -> D
     return out.withColumn("diagnosis", said)
 
 
+def conversions(terms: DataFrame, postings: DataFrame) -> DataFrame:
+    """``qid``, ``postings`` its filter touches, those ``converted`` from units to bitmaps, and their ``units``."""
+    sparse = F.col("layout") != "dense_bitmap"
+    touched = terms.select("qid", "tag").distinct().join(postings, "tag")
+    return touched.groupBy("qid").agg(F.count(F.lit(1)).alias("postings"), F.count(F.when(sparse, 1)).alias("converted"), F.coalesce(F.sum(F.when(sparse, F.col("unit_count"))), F.lit(0)).alias("units"))
+
+
 def shapes(spark, texts: dict[int, str]) -> DataFrame:
     """``qid``, ``op``, ``nodes``, ``postings``, ``stacked``, ``most_operands`` of the compiled filters."""
     rows = []
