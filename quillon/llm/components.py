@@ -12,16 +12,27 @@ from pyspark.sql import functions as F
 
 from . import scratch
 
+#: Neighbours of a node to a salt.
+HUB = 512
+
 
 def _both(e: DataFrame) -> DataFrame:
     return e.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("x")).select("x.u", "x.v")
 
 
 def _large(e: DataFrame) -> DataFrame:
-    """Every neighbour larger than the node goes to the smallest of node and neighbours."""
+    """Every neighbour larger than the node goes to the smallest of node and neighbours.
+
+    A node with more than ``HUB`` neighbours gets a salt for each ``HUB`` of them; the
+    salts' table has at most one row for every ``HUB / 2`` edges and is broadcast.
+    """
     near = _both(e)
-    least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return near.filter("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).filter("a <> b").distinct()
+    least = near.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    least = least.select("u", F.least("u", "m").alias("m"), F.ceil(F.col("n") / HUB).cast("int").alias("s"))
+    hubs = least.filter("s > 1").select("u", "s")
+    salted = near.filter("v > u").join(F.broadcast(hubs), "u", "left").withColumn("k", F.coalesce(F.pmod(F.xxhash64("v"), F.col("s")), F.lit(0)).cast("int"))
+    copies = least.select("u", "m", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("k"))
+    return salted.join(copies, ["u", "k"]).select(F.col("m").alias("a"), F.col("v").alias("b")).filter("a <> b").distinct()
 
 
 def _small(e: DataFrame) -> DataFrame:

@@ -32,9 +32,10 @@ from . import scratch
 from .components import connected_components
 
 WORDS = 5
-#: Representatives to a block of a bucket, and shingles to a block of a cluster.
-BUCKET_BLOCK = 1024
+#: Representatives to a block of a bucket; shingles and representatives to a block of a cluster.
+BUCKET_BLOCK = 512
 CLUSTER_BLOCK = 1_000_000
+CLUSTER_DOCS = 1024
 BATCH = 24
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _BLANK = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -305,10 +306,10 @@ def near_dedup(docs: DataFrame, percent: int = 85, words: int = WORDS, miss: flo
     edges = scratch.stash(candidate_edges(reps, percent, miss).distinct(), "candidates")
     clusters = scratch.stash(connected_components(edges), "clusters")
 
-    sizes = clusters.join(reps.select("_id", "n_shingles"), F.col("node") == F.col("_id")).groupBy("component").agg(F.sum("n_shingles").alias("_n"))
+    sizes = clusters.join(reps.select("_id", "n_shingles"), F.col("node") == F.col("_id")).groupBy("component").agg(F.sum("n_shingles").alias("_n"), F.count(F.lit(1)).alias("_d"))
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     members = texts.join(clusters.select(F.col("node").alias("_id"), "component"), "_id").join(sizes, "component")
-    members = _block_pairs(members, F.ceil(F.col("_n") / CLUSTER_BLOCK).cast("int"), F.pmod(F.xxhash64("_id"), F.col("_blocks")), ["component", "_id", "_text"])
+    members = _block_pairs(members, F.ceil(F.greatest(F.col("_n") / CLUSTER_BLOCK, F.col("_d") / CLUSTER_DOCS)).cast("int"), F.pmod(F.xxhash64("_id"), F.col("_blocks")), ["component", "_id", "_text"])
 
     def confirm(frames):
         for f, cuts in _grouped(frames, ["component", "_a", "_b"]):
