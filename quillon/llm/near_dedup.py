@@ -71,7 +71,7 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     found = words_of(text)
     if not found:
         return np.zeros(0, np.uint64)
-    if len(_HASHED) > 400_000:
+    if len(_HASHED) > 200_000:
         _HASHED.clear()
     get, digest = _HASHED.get, xxhash.xxh3_64_intdigest
     h = []

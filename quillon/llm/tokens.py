@@ -16,7 +16,7 @@ import unicodedata
 import numpy as np
 
 DEFAULT = "word_bpe_49k.json"
-CACHE = 400_000
+CACHE = 200_000
 LONG = 2_000
 _END = b"\xff"  # stands for the end of a word: no UTF-8 text holds it
 _ODD = re.compile("[\x1c-\x1f]|<\\|(?:start|end)oftext\\|>")
