@@ -176,7 +176,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Data
 
     Rows keep their other columns; equal rows are packed as often as they occur.
     Only the bins of a group that are less than half full go on to the second
-    packing; each group has one such bin at most, as best fit leaves no two.
+    packing; best fit leaves one of them at most, and the search seldom opens more.
     """
     names = parts.columns
     total = parts.count()
@@ -195,7 +195,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Data
     first = scratch.stash(dealt.groupBy("_g").applyInPandas(pack_group, grouped), "packed")
     loose = first.filter(F.col("_room") > capacity // 2).select(*names)
     kept = first.filter(F.col("_room") <= capacity // 2).select(*names, (F.col("_bin") * groups + F.col("_g") + 1).alias("sequence_id"), "offset")
-    # one bin for each group: the same step again until they fit one task
+    # about one bin for each group: the same step again until they fit one task
     again = pack(loose, capacity, group).withColumn("sequence_id", -F.col("sequence_id") * 2 - 1) if groups > group else None
     if again is None:
         last = loose.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(lambda f: pack_frame(f.drop(columns="_g"), capacity), schema)
