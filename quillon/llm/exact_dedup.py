@@ -65,7 +65,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     runs = salted.repartitionByRange("_p", "_h", "_salt").withColumn("_norm", norm)
     key = Window.partitionBy("_p", "_h", "_salt", "_norm")
-    first = key.orderBy(F.length("_text").desc_nulls_last(), F.col("_id").asc_nulls_last())
+    first = key.orderBy(cp.desc(), F.col("_id").asc_nulls_last())
     runs = runs.withColumns({"_rank": F.row_number().over(first), "_keep": F.first("_id").over(first), "_size": F.count(F.lit(1)).over(key), "_sha": F.sha2("_norm", 256)})
 
     whole = runs.join(F.broadcast(hot.select("_sha", "_best", "_total")), "_sha", "left")

@@ -41,6 +41,15 @@ def test_hot_texts_are_salted(spark, monkeypatch):
     run(spark, rows)
 
 
+def test_null_ties_with_empty(spark):
+    run(spark, [(1, None), (2, ""), (3, "a"), (4, ""), (5, None)])
+
+
+def test_null_ties_with_empty_in_hot_group(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "LEAST_HOT", 3)
+    run(spark, [(i, "" if i % 2 else None) for i in range(200)] + [(1000 + i, f"text {i}") for i in range(50)])
+
+
 def test_shared_prefix(spark):
     run(spark, [(i, "same beginning of every text " * 3 + str(i % 40)) for i in range(200)])
 
