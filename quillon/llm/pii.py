@@ -2,11 +2,11 @@
 
 Patterns find the protected entities (e-mail and IP addresses, card and phone
 numbers).  Then the corpus tells which other terms disclose them: a term that
-occurs with an entity in several different texts, and in hardly any other text,
-lets a reader infer the entity although it is masked.  Its disclosure is the
-pointwise mutual information with the entity; terms that give away at least
-``share`` of the entity's information content are generalised, those that give
-away at least ``remove`` of it are removed.
+occurs with an entity, and in hardly any other text, lets a reader infer the
+entity although it is masked.  Its disclosure is the pointwise mutual information
+with the entity, smoothed where they meet in few different texts; terms that give
+away at least ``share`` of the entity's information content are generalised, those
+that give away at least ``remove`` of it are removed.
 """
 
 from __future__ import annotations
@@ -112,10 +112,12 @@ def disclosing_terms(holders: DataFrame, docs: DataFrame, rows: int, share: floa
     that text), ``_entities`` and ``_terms``.
     """
     own = holders.select("_h", "_m", F.explode("_entities").alias("e"))
-    entities = own.groupBy("e").agg(F.count(F.lit(1)).alias("texts"), F.sum("_m").alias("ne")).filter(F.col("texts") >= support)
-    own = own.join(entities, "e")
-    pairs = own.select("_h", "_m", "e", "ne").join(holders.select("_h", F.explode("_terms").alias("t")), "_h")
-    joint = pairs.groupBy("e", "t").agg(F.count(F.lit(1)).alias("texts"), F.sum("_m").alias("nj"), F.first("ne").alias("ne")).filter(F.col("texts") >= support)
+    entities = own.groupBy("e").agg(F.bit_xor(F.xxhash64("_h")).alias("c"), F.sum("_m").alias("ne"))
+    # entities of the same texts rate every term alike, so one stands for all: a list of addresses isn't paired with all its terms for each
+    classes = entities.groupBy("c").agg(F.min("e").alias("e"), F.first("ne").alias("ne"))
+    own = own.join(classes, "e").select("_h", "_m", "c", "ne")
+    pairs = own.join(holders.select("_h", F.explode("_terms").alias("t")), "_h")
+    joint = pairs.groupBy("c", "t").agg(F.count(F.lit(1)).alias("texts"), F.sum("_m").alias("nj"), F.first("ne").alias("ne"))
     joint = scratch.stash(joint, "joint")
     # in how many rows a term occurs: counted over the whole corpus, summed before the shuffle
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TERM), F.lit(0)))).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("nt"))
@@ -123,10 +125,12 @@ def disclosing_terms(holders: DataFrame, docs: DataFrame, rows: int, share: floa
     known = joint.join(words, "t")
     nt = F.greatest("nt", "nj")
     content = F.log2(F.lit(float(rows)) / F.col("ne"))
-    information = F.log2(F.col("nj") * F.lit(float(rows)) / (nt * F.col("ne")))
+    # each text short of the support counts as one with the term in which the entity is as likely as anywhere
+    short = F.greatest(F.lit(support) - F.col("texts"), F.lit(0)) * F.col("nj") / F.col("texts")
+    information = F.log2((F.col("nj") * F.lit(float(rows)) + short * F.col("ne")) / ((nt + short) * F.col("ne")))
     rated = known.withColumn("r", F.when(content > 0, information / content)).filter(F.col("r") >= share)
-    flags = rated.select("e", "t", F.when(F.col("r") >= remove, KINDS.index("remove")).otherwise(KINDS.index("generalise")).alias("k"))
-    return pairs.select("_h", "e", "t").join(flags, ["e", "t"]).groupBy("_h", "t").agg(F.max("k").alias("k")).groupBy("_h").agg(F.collect_list(F.struct("t", "k")).alias("_flags"))
+    flags = rated.select("c", "t", F.when(F.col("r") >= remove, KINDS.index("remove")).otherwise(KINDS.index("generalise")).alias("k"))
+    return pairs.select("_h", "c", "t").join(flags, ["c", "t"]).groupBy("_h", "t").agg(F.max("k").alias("k")).groupBy("_h").agg(F.collect_list(F.struct("t", "k")).alias("_flags"))
 
 
 def sanitise(docs: DataFrame, share: float = 0.8, remove: float = 0.97, support: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -136,8 +140,10 @@ def sanitise(docs: DataFrame, share: float = 0.8, remove: float = 0.97, support:
     (of the patterns' spans), ``spans`` (all spans), ``n_terms`` and ``sanitised``
     (null where the document has no span and so stays as it is).
 
-    A term is rated against an entity if both occur in ``support`` different texts at
-    least; copies of a text are one text there, but count in all frequencies.  Null
+    Every term is rated against every entity it occurs with.  Where both occur in
+    fewer than ``support`` different texts, the texts that lack are added as texts with
+    the term in which the entity is as likely as anywhere; copies of a text are one
+    text there, but count in all frequencies.  Null
     texts are empty.  Rows that repeat are rows of their own; ids may be null.  An
     empty table gives an empty result; other columns are ignored.
     """

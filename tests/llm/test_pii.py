@@ -1,5 +1,8 @@
 import hashlib
+import math
+import random
 import re
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -67,3 +70,40 @@ def test_disclosing_terms(spark):
     assert last.spans == "email:5:18" and last.n_terms == 0
     lower = {r.doc_id: r for r in pii.sanitise(df, share=0.2, remove=0.97, support=3).collect()}
     assert "[TERM]" in lower[0].sanitised
+
+
+def rated_by_brute_force(texts, share, remove, support):
+    """Flagged terms of each text: every entity with every term of its texts."""
+    found = [({pii.entity(k, t[s:e]) for k, s, e in pii.base_spans(t)}, {w for w, _, _ in pii.masked_terms(t, pii.base_spans(t))}) for t in texts]
+    words = Counter(w for t in texts for w in set(re.findall(r"[a-z]{3,}", t.lower())))
+    out = [{} for _ in texts]
+    for e in {e for es, _ in found for e in es}:
+        own = [k for k, (es, _) in enumerate(found) if e in es]
+        for w in {w for k in own for w in found[k][1]}:
+            both = [k for k in own if w in found[k][1]]
+            different = len({texts[k] for k in both})
+            short = max(support - different, 0) * len(both) / different
+            prior = len(own) / len(texts)
+            r = math.log2((len(both) + short * prior) / (max(words[w], len(both)) + short) / prior) / -math.log2(prior)
+            assert min(abs(r - share), abs(r - remove)) > 1e-9
+            if r >= share:
+                for k in both:
+                    out[k][w] = max(out[k].get(w, 0), 5 if r >= remove else 4)
+    return out
+
+
+def test_entities_in_few_texts_are_rated(spark):
+    r = random.Random(5)
+    letters = "abcdefghij"
+    words = ["w" + letters[k // 100] + letters[k // 10 % 10] + letters[k % 10] for k in range(300)]
+    texts = [" ".join(r.choices(words, k=12)) for _ in range(300)]
+    texts += [" ".join([*r.choices(words, k=8), f"p{k // r.choice([1, 1, 2, 3, 5])}@x.example", *([f"q{k}@x.example"] * (k % 2)), "unique" + letters[k // 10] + letters[k % 10]]) for k in range(60)]
+    texts += texts[-4:] * 2
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for share in (0.8, 0.45):
+        want = rated_by_brute_force(texts, share, 0.97, 3)
+        assert any(want)
+        for row in pii.sanitise(df, share=share).collect():
+            spans = [x.split(":") for x in row.spans.split(",")] if row.spans else []
+            got = {texts[row.doc_id][int(s):int(e)]: pii.KINDS.index(k) for k, s, e in spans if k in ("generalise", "remove")}
+            assert got == want[row.doc_id]
