@@ -67,7 +67,7 @@ def find_exponent(totals: np.ndarray, budget: float, entropy_share: float | None
     return best
 
 
-def mix(docs: DataFrame, budget: int | None = None, entropy_share: float | None = 0.95, max_repeats: float | None = 4.0, seed: int = 17, tokenizer: str = tokens.DEFAULT, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, budget: int | None = None, entropy_share: float | None = 0.95, max_repeats: float | None = 4.0, seed: int = 17, tokenizer: str = tokens.DEFAULT, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
     """One row for each chosen copy of a document.
 
     Columns: the id, ``source``, ``n_tokens``, ``epoch`` (from 0), ``block`` and
@@ -79,11 +79,13 @@ def mix(docs: DataFrame, budget: int | None = None, entropy_share: float | None
     A null source is a source of its own; null texts have no tokens; a source
     without any tokens gets weight 0 and no rows.  Rows that repeat are documents
     of their own.  An empty table gives an empty result.  Ties in the order fall
-    to the smaller id.  Other columns are ignored.
+    to the smaller id.  ``row_col``, if given, tells rows of the same id or without
+    one apart, and is returned too.  Other columns are ignored.
     """
     spark = docs.sparkSession
-    named = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.col(text_col).alias("_text"))
-    slim = scratch.stash(token_counts.token_lengths(named, tokenizer, ("_id", "_source"), "_text"), "lengths")
+    key = [F.col(row_col).alias("_row")] if row_col else []
+    named = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.col(text_col).alias("_text"), *key)
+    slim = scratch.stash(token_counts.token_lengths(named, tokenizer, ("_id", "_source", *(["_row"] if row_col else [])), "_text"), "lengths")
 
     sums = slim.groupBy("_source").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n")).orderBy(F.col("_source").asc_nulls_first()).limit(MAX_SOURCES + 1).collect()
     if len(sums) > MAX_SOURCES:
@@ -101,27 +103,32 @@ def mix(docs: DataFrame, budget: int | None = None, entropy_share: float | None
     plan_df = F.broadcast(spark.createDataFrame(plan, shape))  # a row for each source; their number is checked above
 
     epochs = slim.join(plan_df, F.col("_source").eqNullSafe(F.col("_s"))).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_whole"))))
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "epoch", "_id"), 2)
+    drawn = F.xxhash64(F.lit(seed), "epoch", "_id")
+    if row_col:
+        drawn = F.when(F.col("_id").isNull(), F.xxhash64(F.lit(seed), "epoch", "_row")).otherwise(drawn)
+    u = F.shiftrightunsigned(drawn, 2)
     dealt = epochs.withColumn("_u", u).withColumn("block", F.least(F.floor(F.col("_u") / F.lit(_SPAN) * F.col("_blocks")), F.col("_blocks") - 1))
 
     sums_by_block = dealt.filter("epoch = _whole").groupBy("_source", "epoch", "block").agg(F.sum("n_tokens").alias("_sum"))
     before = Window.partitionBy("_source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     sums_by_block = sums_by_block.select(F.col("_source").alias("_bs"), F.col("epoch").alias("_be"), F.col("block").alias("_bb"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
-    order = Window.partitionBy("_source", "epoch", "block").orderBy("_u", F.col("_id").asc_nulls_last())
+    order = Window.partitionBy("_source", "epoch", "block").orderBy("_u", F.col("_id").asc_nulls_last(), *(["_row"] if row_col else []))
     placed = dealt.withColumns({"position": F.row_number().over(order), "_run": F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, 0))})
     placed = placed.join(sums_by_block, F.col("_source").eqNullSafe(F.col("_bs")) & (F.col("epoch") == F.col("_be")) & (F.col("block") == F.col("_bb")), "left")
     taken = placed.filter((F.col("epoch") < F.col("_whole")) | ((F.col("_left") > 0) & (F.col("_before") + F.col("_run") <= F.col("_left"))))
-    return taken.select(F.col("_id").alias(id_col), F.col("_source").alias("source"), "n_tokens", "epoch", "block", "position", "weight", F.lit(exponent).alias("exponent"))
+    return taken.select(F.col("_id").alias(id_col), F.col("_source").alias("source"), "n_tokens", "epoch", "block", "position", "weight", F.lit(exponent).alias("exponent"), *([F.col("_row").alias(row_col)] if row_col else []))
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with every row as often as :func:`mix` chose its id.
+    """``docs`` with every row as often as :func:`mix` chose it, whether its id is null or repeats.
 
-    Rows that share an id share its copies evenly, rounded; rows without an id
-    are left out.
+    Rows that repeat in all columns share their copies as evenly as whole copies allow.
     """
-    n = docs.groupBy(F.col(id_col).alias("_mid")).agg(F.count(F.lit(1)).alias("_rows"))
-    chosen = mix(docs, id_col=id_col, **options).groupBy(F.col(id_col).alias("_mid")).agg(F.count(F.lit(1)).alias("_n"))
-    copies = n.join(chosen, "_mid").select("_mid", F.round(F.col("_n") / F.col("_rows")).cast("int").alias("_copies"))
-    joined = docs.join(copies, F.col(id_col) == F.col("_mid")).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies"))))
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns])
+    # maps can't be hashed; rows that differ in nothing else count as repeated
+    keyed = docs.withColumn("_row", F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind]))
+    n = keyed.groupBy("_row").agg(F.count(F.lit(1)).alias("_rows"))
+    chosen = mix(keyed, id_col=id_col, row_col="_row", **options).groupBy("_row").agg(F.count(F.lit(1)).alias("_n"))
+    joined = keyed.join(n.join(chosen, "_row"), "_row").withColumn("_k", F.row_number().over(Window.partitionBy("_row").orderBy("_row")))
+    copies = F.floor(F.col("_n") / F.col("_rows")) + F.when(F.col("_k") <= F.col("_n") % F.col("_rows"), 1).otherwise(0)
+    dealt = joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies.cast("int"))))
+    return dealt.select(*[F.col(f"`{c}`") for c in docs.columns])
