@@ -14,7 +14,7 @@ from __future__ import annotations
 import hashlib
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -148,23 +148,27 @@ def sanitise(docs: DataFrame, share: float = 0.8, remove: float = 0.97, support:
     empty table gives an empty result; other columns are ignored.
     """
 
+    long, string = pa.int64(), pa.string()
+    kinds = {"n_email": long, "n_ip": long, "n_card": long, "n_phone": long, "base_sha256": string, "_base": string, "_h": long, "_text": string, "_entities": pa.list_(string), "_terms": pa.list_(string)}
+
     def find(frames):
         for f in frames:
             out = []
-            for key, text in zip(f["_id"], f["_text"], strict=True):
+            for text in f.column("_text").to_pylist():
                 spans = base_spans(text)
                 n = [sum(k == i for k, _, _ in spans) for i in range(4)]
                 digest = int.from_bytes(hashlib.blake2b((text or "").encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) if spans else None
                 entities = sorted({entity(k, text[s:e]) for k, s, e in spans}) if spans else None
                 terms = sorted({t for t, _, _ in masked_terms(text, spans)}) if spans else None
                 line = joined(spans)
-                out.append((key, *n, hashlib.sha256(line.encode()).hexdigest(), line, digest, text if spans else None, entities, terms))
-            names = ["_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "_base", "_h", "_text", "_entities", "_terms"]
-            yield pd.DataFrame(out, columns=names).astype({"_id": "Int64", "_h": "Int64"})
+                out.append((*n, hashlib.sha256(line.encode()).hexdigest(), line, digest, text if spans else None, entities, terms))
+            # Arrow arrays: pandas would round ids and hashes beside nulls
+            columns = zip(*out, strict=True) if out else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([f.column("_id"), *[pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)]], names=["_id", *kinds])
 
     schema = "_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, _base string, _h long, _text string, _entities array<string>, _terms array<string>"
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    found = scratch.stash(rows.mapInPandas(find, schema), "personal")
+    found = scratch.stash(rows.mapInArrow(find, schema), "personal")
     total = found.count()
     texts = found.filter("_h is not null")
     holders = texts.groupBy("_h").agg(F.count(F.lit(1)).alias("_m"), F.first("_entities").alias("_entities"), F.first("_terms").alias("_terms"))
@@ -174,20 +178,20 @@ def sanitise(docs: DataFrame, share: float = 0.8, remove: float = 0.97, support:
     def locate(frames):
         for f in frames:
             out = []
-            for text, flagged in zip(f["_text"], f["_flags"], strict=True):
+            for text, flagged in zip(f.column("_text").to_pylist(), f.column("_flags").to_pylist(), strict=True):
                 if text is None:
                     out.append(("", 0, None))
                     continue
                 spans = base_spans(text)
-                kinds = {x["t"]: x["k"] for x in flagged} if flagged is not None else {}
-                more = sorted((kinds[t], s, e) for t, s, e in masked_terms(text, spans) if t in kinds) if kinds else []
+                actions = {x["t"]: x["k"] for x in flagged} if flagged is not None else {}
+                more = sorted((actions[t], s, e) for t, s, e in masked_terms(text, spans) if t in actions) if actions else []
                 out.append((joined(spans + more), len(more), sanitised(text, spans + more)))
-            new = pd.DataFrame(out, columns=["spans", "n_terms", "sanitised"])
-            yield pd.concat([f.drop(columns=["_text", "_flags"]).reset_index(drop=True), new], axis=1)
+            new = zip(*out, strict=True) if out else [[]] * 3
+            yield pa.RecordBatch.from_arrays([*[f.column(c) for c in plain], *[pa.array(c, t) for c, t in zip(new, (string, long, string), strict=True)]], names=[*plain, "spans", "n_terms", "sanitised"])
 
     plain = ["_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256"]
     kept = "_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_terms long, sanitised string"
-    with_flags = texts.join(flags, "_h", "left").select(*plain, "_text", "_flags").mapInPandas(locate, kept)
+    with_flags = texts.join(flags, "_h", "left").select(*plain, "_text", "_flags").mapInArrow(locate, kept)
     clean = found.filter("_h is null").select(*plain, F.col("_base").alias("spans"), F.lit(0).cast("long").alias("n_terms"), F.lit(None).cast("string").alias("sanitised"))
     both = with_flags.unionByName(clean)
     return both.select(F.col("_id").alias(id_col), *both.columns[1:])

@@ -14,7 +14,7 @@ import hashlib
 import uuid
 import zlib
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -147,14 +147,14 @@ def write_archives(pages: DataFrame, folder: str, least_revisit: int = 0, level:
             out.close()
             store.move(f"{base}/.{name}", f"{base}/{name}")
 
-        for f in frames:
-            for key, url, html, refers in zip(f["_id"], f["_url"], f["_html"], f["_refers"], strict=True):
+        for f in frames:  # Arrow batches: pandas would round ids beside nulls
+            for key, url, html, refers in zip(*(f.column(c).to_pylist() for c in ("_id", "_url", "_html", "_refers")), strict=True):
                 if out is None:
                     name = f"{uuid.uuid4().hex}.warc.gz"
                     out = store.open_output_stream(f"{base}/.{name}", compression=None)
                     done.append([f"{folder}/{name}", 0, 0])
-                revisit = not pd.isna(refers)
-                data = member(record(None if pd.isna(key) else int(key), url, html.encode("utf-8", "surrogatepass"), int(refers) if revisit else None, revisit), level)
+                revisit = refers is not None
+                data = member(record(key, url, html.encode("utf-8", "surrogatepass"), refers, revisit), level)
                 out.write(data)
                 done[-1][1] += 1
                 done[-1][2] += len(data)
@@ -164,10 +164,10 @@ def write_archives(pages: DataFrame, folder: str, least_revisit: int = 0, level:
         if out is not None:
             close()
         if done:
-            yield pd.DataFrame(done, columns=["path", "records", "bytes"])
+            yield pa.RecordBatch.from_pylist([dict(zip(("path", "records", "bytes"), d, strict=True)) for d in done])
 
     slim = typed.select("_id", "_url", "_html", "_refers")
-    return slim.mapInPandas(write, "path string, records long, bytes long")
+    return slim.mapInArrow(write, "path string, records long, bytes long")
 
 
 def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
@@ -182,7 +182,7 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
         from pyarrow import fs
 
         for f in frames:
-            for path in f["path"]:
+            for path in f.column("path").to_pylist():
                 store, place = fs.FileSystem.from_uri(path)
                 rows, held = [], 0
                 with store.open_input_stream(place, compression=None) as stream:
@@ -199,13 +199,15 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
 
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads
     # a task for each archive: the paths are few bytes, so they would else be read by one task
-    return archives.select("path").repartition(max(1, archives.count())).mapInPandas(read, schema)
+    return archives.select("path").repartition(max(1, archives.count())).mapInArrow(read, schema)
 
 
-def _frame(rows: list, payloads: bool) -> pd.DataFrame:
-    f = pd.DataFrame(rows, columns=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
-    f = f.astype({"page_id": "Int64", "payload_bytes": "Int64", "refers_to": "Int64"})
-    return f if payloads else f.drop(columns="payload")
+def _frame(rows: list, payloads: bool) -> pa.RecordBatch:
+    kinds = {"page_id": pa.int64(), "url": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "payload": pa.binary()}
+    columns = {k: pa.array(v, t) for (k, t), v in zip(kinds.items(), zip(*rows, strict=True), strict=True)}
+    if not payloads:
+        del columns["payload"]
+    return pa.RecordBatch.from_pydict(columns)
 
 
 def round_trip(pages: DataFrame, least_revisit: int = 0, **columns) -> DataFrame:

@@ -107,3 +107,9 @@ def test_entities_in_few_texts_are_rated(spark):
             spans = [x.split(":") for x in row.spans.split(",")] if row.spans else []
             got = {texts[row.doc_id][int(s):int(e)]: pii.KINDS.index(k) for k, s, e in spans if k in ("generalise", "remove")}
             assert got == want[row.doc_id]
+
+
+def test_long_ids_beside_nulls(spark):
+    ids = [2**53 + 1, None, 2**62 + 3, -(2**60) - 7]
+    df = spark.createDataFrame([(i, f"mail a{k}@b.cd" if k % 2 else "none") for k, i in enumerate(ids)] + [(2**53 + 3, "mail x@y.zz")], "doc_id long, text string").coalesce(1)
+    assert {r.doc_id for r in pii.sanitise(df).collect()} == {*ids, 2**53 + 3}

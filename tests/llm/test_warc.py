@@ -67,3 +67,9 @@ def test_damage_is_noticed():
         with pytest.raises(warc.WarcError):
             list(warc.read_records(io.BytesIO(bad)))
     assert list(warc.read_records(io.BytesIO(cases[1]), verify=False))[0][1] == b"Payload"
+
+
+def test_long_ids_beside_nulls(spark):
+    rows = [(2**53 + 1, "http://a", "same"), (2**53 + 3, "http://b", "same"), (None, "http://c", "other"), (2**62 + 3, "http://d", "alone")]
+    got = warc.round_trip(frame(spark, rows).coalesce(1)).collect()
+    assert {(r.page_id, r.refers_to) for r in got} == {(2**53 + 1, 2**53 + 3), (2**53 + 3, None), (None, None), (2**62 + 3, None)}
