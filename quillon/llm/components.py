@@ -2,7 +2,8 @@
 
 Each round hangs every node's larger neighbours, then its smaller ones, on the
 smallest neighbour; the edges become stars in a logarithmic number of rounds.
-Minima are aggregated map-side, and every round is written to the shared folder.
+Minima are aggregated map-side, hubs are split (see :mod:`.skew`), and every round
+is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -11,34 +12,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
-
-#: Neighbours of a node to a salt.
-HUB = 512
+from .skew import attach
 
 
 def _both(e: DataFrame) -> DataFrame:
     return e.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("x")).select("x.u", "x.v")
 
 
-def _large(e: DataFrame) -> DataFrame:
-    """Every neighbour larger than the node goes to the smallest of node and neighbours.
-
-    A node with more than ``HUB`` neighbours gets a salt for each ``HUB`` of them; the
-    salts' table has at most one row for every ``HUB / 2`` edges and is broadcast.
-    """
+def _large(e: DataFrame, edges: int) -> DataFrame:
+    """Every neighbour larger than the node goes to the smallest of node and neighbours."""
     near = _both(e)
-    least = near.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-    least = least.select("u", F.least("u", "m").alias("m"), F.ceil(F.col("n") / HUB).cast("int").alias("s"))
-    hubs = least.filter("s > 1").select("u", "s")
-    salted = near.filter("v > u").join(F.broadcast(hubs), "u", "left").withColumn("k", F.coalesce(F.pmod(F.xxhash64("v"), F.col("s")), F.lit(0)).cast("int"))
-    copies = least.select("u", "m", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("k"))
-    return salted.join(copies, ["u", "k"]).select(F.col("m").alias("a"), F.col("v").alias("b")).filter("a <> b").distinct()
+    least = near.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    moved = attach(near.filter("v > u"), least, ["u"], "n", 2 * edges, F.col("v"))
+    return moved.select(F.col("m").alias("a"), F.col("v").alias("b")).filter("a <> b").distinct()
 
 
-def _small(e: DataFrame) -> DataFrame:
+def _small(e: DataFrame, edges: int) -> DataFrame:
     """The node and its smaller neighbours go to the smallest of them; edges have a < b."""
-    least = e.groupBy("b").agg(F.min("a").alias("m"))
-    moved = e.join(least, "b").select(F.col("m").alias("a"), F.col("a").alias("b"))
+    least = e.groupBy("b").agg(F.min("a").alias("m"), F.count(F.lit(1)).alias("n"))
+    moved = attach(e, least, ["b"], "n", edges, F.col("a")).select(F.col("m").alias("a"), F.col("a").alias("b"))
     own = least.select(F.col("m").alias("a"), "b")
     return moved.union(own).filter("a <> b").distinct()
 
@@ -47,14 +39,15 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """``node`` and ``component`` (its smallest node) for every node of ``edges`` (``a``, ``b``).
 
     Loops, repeated and reversed edges do no harm; edges with a null end are left
-    out.  No edges give an empty result.
+    out.  No edges give an empty result.  Other columns are ignored.
     """
     e = edges.filter("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     loops = edges.filter("a is not null and a = b").select(F.col("a").alias("node")).distinct()
     e = scratch.stash(e, "edges")
     before = _shape(e)
     for _ in range(most_rounds):
-        e = scratch.stash(_small(_large(e)), "stars")
+        # the operations never add edges, so the count bounds both
+        e = scratch.stash(_small(_large(e, before[0]), before[0]), "stars")
         now = _shape(e)
         if now == before:
             break

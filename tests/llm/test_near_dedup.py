@@ -4,8 +4,9 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from quillon.llm import components, near_dedup
+from quillon.llm import components, near_dedup, skew
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -69,13 +70,46 @@ def test_blocks_of_large_buckets_and_clusters(spark, monkeypatch):
     original = near_dedup.candidate_edges
     monkeypatch.setattr(near_dedup, "candidate_edges", lambda reps, percent, miss: original(reps, percent, miss, 7))
     monkeypatch.setattr(near_dedup, "CLUSTER_BLOCK", 600)
+    monkeypatch.setattr(near_dedup, "STAR_PART", 13)
     run(spark, rows)
 
 
+def test_chains_in_large_clusters(spark, monkeypatch):
+    """Links that only the pairs of blocks can find: the ends of a chain have nothing to do with its centre."""
+    words = [f"c{i}" for i in range(400)]
+    rows = [(i, " ".join(words[3 * i : 3 * i + 100])) for i in range(90)]
+    rows += [(1000 + i, " ".join([*words[:60], *(f"y{i}-{k}" for k in range(4))])) for i in range(20)]
+    monkeypatch.setattr(near_dedup, "CLUSTER_DOCS", 8)
+    monkeypatch.setattr(near_dedup, "STAR_PART", 5)
+    run(spark, rows, 80)
+
+
+def test_hubs_are_spread(spark):
+    """The joins of a round give a hub's edges to many tasks."""
+    edges = [(0, i) for i in range(1, 20_001)] + [(30_000 + i, 60_000) for i in range(20_000)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    try:
+        for k, v in zip(keep, ("false", "-1", "16"), strict=True):
+            spark.conf.set(k, v)
+        for frame, key, value in ((df, "b", "a"), (df.selectExpr("b as a", "a as b"), "b", "a")):
+            small = frame.groupBy(key).agg(F.min(value).alias("m"), F.count(F.lit(1)).alias("n"))
+            met = skew.attach(frame, small, [key], "n", len(edges), F.col(value))
+            sizes = [len(list(p)) for p in met.rdd.glom().map(len).map(lambda n: [0] * n).collect()]
+            assert sum(sizes) == len(edges) and max(sizes) < len(edges) / 8
+            assert met.filter("m is null").count() == 0
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+
+
 def test_repeated_ids(spark):
     a, b = "one two three four five six", "seven eight nine ten eleven twelve"
     df = spark.createDataFrame([(1, a), (1, a), (2, a), (3, a), (3, b), (4, b)], "doc_id long, text string")
     assert {(r.doc_id, r.component_id) for r in near_dedup.near_dedup(df).collect()} == {(i, 1) for i in (1, 2, 3, 4)}
+    c = "other words that are in none of the texts before"
+    more = df.union(spark.createDataFrame([(3, c), (9, c)], df.schema))  # an id with three texts
+    assert {r.component_id for r in near_dedup.near_dedup(more).collect()} == {1}
 
 
 def test_empty(spark):
@@ -89,7 +123,19 @@ def test_posterior_bounds():
         steps = near_dedup.least_matches(percent, miss, rows * bands)
         assert [n for n, _ in steps][-1] == rows * bands and all(m < n * percent / 100 for n, m in steps)
     same = np.arange(336, dtype=np.uint32).reshape(2, 168)
-    assert len(near_dedup.survivors(same, same, 85, 2e-5)[0]) == 2
+    i, j = np.divmod(np.arange(4), 2)
+    assert len(near_dedup.survivors(same, same, i, j, 85, 2e-5)[0]) == 2
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_pairs_at_the_threshold_are_lost_with_the_chosen_probability(percent):
+    rows, bands = near_dedup.plan(percent, 2e-5)
+    live, at, s = np.array([1.0]), 0, percent / 100  # live[m]: probability of m matches and not dropped
+    for n, least in near_dedup.least_matches(percent, 2e-5, rows * bands):
+        for _ in range(n - at):
+            live = np.r_[live * (1 - s), 0] + np.r_[0, live * s]
+        live[:least], at = 0, n
+    assert 0 < 1 - live.sum() <= 2e-5
 
 
 def test_similar_pairs_share_signatures():
