@@ -1,15 +1,17 @@
 """Packing documents into sequences (operator 7).
 
-Pieces are dealt into groups of bounded size.  In a group a best-fit-decreasing
-start is improved by local search: documents of the least filled bin are moved to
-other underfull bins, or exchanged one for one or two for one, as long as the
-squared fill grows, until bins are empty or no step is left.  What the groups leave
-underfull is packed once more together.
+Pieces are dealt into groups of bounded size.  In a group pieces start in bins by next
+fit, the longest first, and local search does the packing: documents of the least filled bin
+are moved to other underfull bins, or exchanged one for one or two for one, as long as
+the squared fill grows, until bins are empty or no step is left.  What the groups leave
+underfull is packed again together.
 """
 
 from __future__ import annotations
 
+import heapq
 import zlib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -22,9 +24,11 @@ from . import scratch, tokens
 CAPACITY = 4096
 END_ID = 1
 #: Pieces to a group at most, about; a group is packed by one task.
-GROUP = 60_000
-#: Of a bin's documents, the longest so many are tried in pairs.
-PAIRS = 64
+GROUP = 16_384
+#: Of a group's bins the least filled so many are packed again with those of other groups.
+LOOSE = 4
+#: Levels of groups at most; each has about ``LOOSE`` bins of a group of the one before.
+LEVELS = 16
 
 
 def _with(schema: StructType, **more: str) -> StructType:
@@ -58,108 +62,142 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = tokens.DE
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInPandas(cut, schema)
 
 
-def best_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int]]:
-    """Best-fit decreasing; the lengths must be in descending order.  The bin of each, and the bins' free room."""
-    by_room: list[list[int]] = [[] for _ in range(capacity + 1)]
-    rooms, bins, free = 0, [], []  # rooms: bit r is set if some bin has exactly r free
-    for n in lengths:
-        fits = rooms >> n
-        if fits:
-            room = n + (fits & -fits).bit_length() - 1
-            b = by_room[room].pop()
-            if not by_room[room]:
-                rooms &= ~(1 << room)
-        else:
-            room, b = capacity, len(free)
-            free.append(capacity)
-        free[b] = left = room - n
-        if left:
-            by_room[left].append(b)
-            rooms |= 1 << left
-        bins.append(b)
-    return bins, free
-
-
-def local_search(lengths: np.ndarray, bins: np.ndarray, capacity: int) -> np.ndarray:
-    """Empty underfull bins; the new bin of each piece.
-
-    A step takes an underfull bin, the least filled first, and, of its documents from the longest, moves
-    one into the fullest bin that holds it, or exchanges one or two for a shorter
-    one of a bin at least as full that still fits.  Each step raises the sum of squared fills,
-    so the search ends; it stops early once as few bins are left as the total needs.
+def next_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
+    """The start: pieces in their order, each into the last bin or a new one; full pieces get bins of their own."""
+    bins, at, room, count = [], -1, 0, 0
+    for n in lengths.tolist():
+        if n == capacity:
+            bins.append(count)
+            count += 1
+            continue
+        if n > room:
+            at, room, count = count, capacity, count + 1
+        bins.append(at)
+        room -= n
+    return np.array(bins, np.int64)
+
+
+def _reach(own: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every size the largest that one document, and that one or two documents, of a bin have up to it (0: none)."""
+    lengths, times = np.unique(own, return_counts=True)
+    one = np.zeros(capacity + 1, np.int64)
+    one[lengths] = lengths
+    two = one.copy()
+    # a bin has few different lengths (n of them sum up to n * (n + 1) / 2 at least), so all pairs are tried
+    sums = np.add.outer(lengths, lengths)
+    np.fill_diagonal(sums, np.where(times > 1, 2 * lengths, 0))
+    sums = sums[sums <= capacity]
+    two[sums] = sums
+    return np.maximum.accumulate(one), np.maximum.accumulate(two)
+
+
+def _taken(own: list[int], lengths: np.ndarray, total: int) -> list[int]:
+    """One piece, else two pieces, of ``own`` with that total length."""
+    at: dict[int, int] = {}
+    for i in own:
+        n = int(lengths[i])
+        if n == total:
+            return [i]
+        at.setdefault(n, i)
+    for i in own:
+        j = at.get(total - int(lengths[i]))
+        if j is not None and j != i:
+            return [j, i]
+    raise AssertionError("no such pieces")
+
+
+def local_search(lengths: np.ndarray, bins: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
+    """Empty underfull bins; the new bin of each piece, and the number of steps.
+
+    The least filled bin is emptied first.  A step moves one of its documents to
+    another underfull bin, or exchanges one or two of them for a shorter one there;
+    of all such steps that fit, over all documents of all underfull bins, the one that
+    raises the sum of squared fills most is made.  Each step raises that sum, so the
+    search ends; it ends early once as few bins are left as the total needs.
     """
-    bins = bins.copy()
-    fill = np.bincount(bins, lengths).astype(np.int64)
-    least = -(-int(lengths.sum()) // capacity)
-    open_items = np.flatnonzero(fill[bins] < capacity)  # of full bins nothing can change
-    item, size = open_items, lengths[open_items].astype(np.int64)
-    where = bins[open_items].copy()
-    todo = sorted((int(fill[b]), int(b)) for b in np.unique(where))
-    left, changed = int((fill > 0).sum()), False
-    while left > least:
+    lengths, where = lengths.astype(np.int64), bins.astype(np.int64).copy()
+    if not len(where):
+        return where, 0
+    fill = np.bincount(where, lengths).astype(np.int64)
+    room = capacity - fill
+    least, used, steps = -(-int(lengths.sum()) // capacity), int((fill > 0).sum()), 0
+    own: dict[int, list[int]] = {}
+    for i in np.flatnonzero(room[where] > 0).tolist():
+        own.setdefault(int(where[i]), []).append(i)
+    # of full bins nothing can change: they leave these two lists when those are made anew
+    items, targets = np.array([i for b in own.values() for i in b], np.int64), np.array(list(own), np.int64)
+    todo = [(int(fill[b]), b) for b in own]
+    heapq.heapify(todo)
+    stale = changed = 0
+    while used > least:
         if not todo:  # a step may have opened others: go on until a whole pass finds none
             if not changed:
                 break
-            todo, changed = sorted((int(fill[b]), int(b)) for b in np.unique(where) if 0 < fill[b] < capacity), False
+            todo, changed = [(int(fill[b]), b) for b in own if 0 < fill[b] < capacity], 0
+            heapq.heapify(todo)
+            continue
+        size, src = heapq.heappop(todo)
+        if not 0 < fill[src] < capacity:
             continue
-        _, src = todo.pop(0)
-        while fill[src] > 0:
-            own = np.flatnonzero(where == src)
-            own = own[np.argsort(-size[own], kind="stable")]
-            free = capacity - fill
-            open_bins = np.flatnonzero((fill > 0) & (free > 0))
-            open_bins = open_bins[(open_bins != src) & (fill[open_bins] >= fill[src])]
-            done = False
-            for i in own:  # move
-                ok = open_bins[free[open_bins] >= size[i]]
-                if len(ok):
-                    dst = ok[np.argmin(free[ok])]
-                    fill[src] -= size[i]
-                    fill[dst] += size[i]
-                    where[i] = dst
-                    done = True
-                    break
-            if done:
-                changed = True
-                continue
-            room = np.where((where != src) & (fill[where] >= fill[src]), free[where], 0)
-            best = (0, -1, ())
-            for i in own:  # one for one: i goes, a shorter j comes
-                gain = np.where((size < size[i]) & (size[i] - size <= room), size[i] - size, 0)
-                j = int(np.argmax(gain))
-                if gain[j] > best[0]:
-                    best = (int(gain[j]), j, (i,))
-            few = own[:PAIRS]
-            for a in range(len(few)):  # two for one
-                for b in range(a + 1, len(few)):
-                    two = size[few[a]] + size[few[b]]
-                    if two <= best[0]:
-                        break
-                    gain = np.where((size < two) & (two - size <= room), two - size, 0)
-                    j = int(np.argmax(gain))
-                    if gain[j] > best[0]:
-                        best = (int(gain[j]), j, (few[a], few[b]))
-            gain, j, out = best
-            if not gain:
+        if size != fill[src]:
+            heapq.heappush(todo, (int(fill[src]), src))
+            continue
+        while own[src]:
+            if stale > 256:
+                items, targets, stale = items[room[where[items]] > 0], targets[(room[targets] > 0) & (fill[targets] > 0)], 0
+            one, two = _reach(lengths[own[src]], capacity)
+            mine, room[src] = room[src], 0  # the bin itself is no target
+            free = room[targets]
+            moved = one[free]
+            gain = moved * (capacity - free - fill[src] + moved)
+            best, b = -1, -1
+            if len(gain) and gain.max() > 0:
+                b = int(gain.argmax())
+                best = int(gain[b])
+            free = room[where[items]]
+            back = lengths[items]
+            out = two[np.minimum(free + back, capacity)]
+            more = out - back
+            gain = np.where(more > 0, more * (capacity - free - fill[src] + more), 0)
+            j = int(gain.argmax()) if len(gain) else -1
+            room[src] = mine
+            if j >= 0 and gain[j] > max(best, 0):
+                piece, total = int(items[j]), int(out[j])
+                dst, gone, come = int(where[piece]), _taken(own[src], lengths, total), [piece]
+            elif best > 0:
+                dst, total = int(targets[b]), int(moved[b])
+                gone, come = _taken(own[src], lengths, total), []
+            else:
                 break
-            changed = True
-            dst = where[j]
-            fill[src] -= gain
-            fill[dst] += gain
-            where[list(out)] = dst
-            where[j] = src
-        left -= fill[src] == 0
-    bins[item] = where
-    return bins
+            for i in gone:
+                own[src].remove(i)
+                own[dst].append(i)
+                where[i] = dst
+            for i in come:
+                own[dst].remove(i)
+                own[src].append(i)
+                where[i] = src
+            d = total - sum(int(lengths[i]) for i in come)
+            fill[src] -= d
+            fill[dst] += d
+            room[src] += d
+            room[dst] -= d
+            stale += room[dst] == 0
+            steps += 1
+            changed = 1
+        if not own[src]:
+            used -= 1
+            room[src] = 0
+            stale += 1
+    return where, steps
 
 
 def pack_frame(f: pd.DataFrame, capacity: int) -> pd.DataFrame:
-    """Columns ``_bin`` (from 0), ``offset`` and ``_room`` (free room of the bin) added to rows with ``length``."""
+    """Columns ``_bin`` (from 0), ``offset`` and ``_loose`` (whether the bin is one of the least filled) added to rows with ``length``."""
     f = f.sort_values(["length", *[c for c in f.columns if c != "length"]], ascending=[False] + [True] * (len(f.columns) - 1), kind="stable").reset_index(drop=True)
     n = f["length"].to_numpy(np.int64)
-    bins, _ = best_fit(n.tolist(), capacity)
-    bins = local_search(n, np.array(bins, np.int64), capacity)
-    bins = np.unique(bins, return_inverse=True)[1] if len(bins) else bins
+    bins, _ = local_search(n, next_fit(n, capacity), capacity)
+    bins = np.unique(bins, return_inverse=True)[1].astype(np.int64) if len(bins) else bins
     order = np.argsort(bins, kind="stable")
     ends = np.cumsum(n[order])
     starts = ends - n[order]
@@ -168,47 +206,46 @@ def pack_frame(f: pd.DataFrame, capacity: int) -> pd.DataFrame:
     offset = np.empty(len(n), np.int64)
     offset[order] = starts - base
     room = capacity - np.bincount(bins, n).astype(np.int64) if len(bins) else bins
-    return f.assign(_bin=bins, offset=offset, _room=room[bins] if len(bins) else bins)
+    loosest = np.argsort(-room, kind="stable")[: min(LOOSE, len(room) // 2)]  # so that every level has fewer pieces
+    loosest = loosest[room[loosest] > 0]
+    return f.assign(_bin=bins, offset=offset, _loose=np.isin(bins, loosest))
 
 
 def pack(parts: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
-    """The rows of ``parts`` (with ``length`` up to the capacity) with ``sequence_id`` and ``offset``.
+    """The rows of ``parts`` (with ``length`` from 1 up to the capacity) with ``sequence_id`` and ``offset``.
 
-    Rows keep their other columns; equal rows are packed as often as they occur.
-    Only the bins of a group that are less than half full go on to the second
-    packing; best fit leaves one of them at most, and the search seldom opens more.
+    Rows keep their other columns; equal rows are packed as often as they occur, and
+    are dealt by their place in the table, not by value.  The pieces of each group's
+    ``LOOSE`` least filled bins (half of its bins at most) are packed again together, in
+    groups as before, until one group holds what is left.  An empty table gives an empty result.
     """
     names = parts.columns
-    total = parts.count()
-    groups = max(1, -(-total // group))
-    schema = _with(parts.schema, _bin="long", offset="long", _room="long")
-
-    if groups == 1:
-        done = parts.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(lambda f: pack_frame(f.drop(columns="_g"), capacity), schema)
-        return done.select(*names, F.col("_bin").alias("sequence_id"), "offset")
-    dealt = parts.withColumn("_g", F.pmod(F.xxhash64(*names), F.lit(groups)).cast("int"))
-    grouped = _with(schema, _g="integer")
+    schema = _with(parts.schema, _bin="long", offset="long", _loose="boolean", _g="integer")
 
     def pack_group(key, f):
         return pack_frame(f.drop(columns="_g"), capacity).assign(_g=key[0])
 
-    first = scratch.stash(dealt.groupBy("_g").applyInPandas(pack_group, grouped), "packed")
-    loose = first.filter(F.col("_room") > capacity // 2).select(*names)
-    kept = first.filter(F.col("_room") <= capacity // 2).select(*names, (F.col("_bin") * groups + F.col("_g") + 1).alias("sequence_id"), "offset")
-    # about one bin for each group: the same step again until they fit one task
-    again = pack(loose, capacity, group).withColumn("sequence_id", -F.col("sequence_id") * 2 - 1) if groups > group else None
-    if again is None:
-        last = loose.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(lambda f: pack_frame(f.drop(columns="_g"), capacity), schema)
-        again = last.select(*names, (-F.col("_bin") - 1).alias("sequence_id"), "offset")
-    return kept.unionByName(again)
+    done, rest, level = [], scratch.stash(parts, "parts"), 0
+    while True:
+        groups = max(1, -(-rest.count() // group))
+        # the table is written, so a row's place stays the same if a task runs again
+        dealt = rest.withColumn("_g", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
+        packed = dealt.groupBy("_g").applyInPandas(pack_group, schema)
+        # unique over bins, groups and levels
+        number = ((F.col("_bin") * groups + F.col("_g")) * LEVELS + level).alias("sequence_id")
+        if groups == 1 or level == LEVELS - 1:
+            return reduce(DataFrame.unionByName, [*done, packed.select(*names, number, "offset")])
+        packed = scratch.stash(packed, "packed")
+        done.append(packed.filter("not _loose").select(*names, number, "offset"))
+        rest, level = scratch.stash(packed.filter("_loose").select(*names), "loose"), level + 1
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = tokens.DEFAULT, end_id: int = END_ID, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every document's pieces with their places in sequences.
 
     Columns: the id, ``piece``, ``start``, ``length``, ``ids_crc32``, ``sequence_id``,
-    ``offset``.  Rows that repeat are packed each; an empty table gives an empty
-    result; ids may be null; other columns are ignored.
+    ``offset``.  Null and empty texts are one piece, the end id alone; very long texts
+    are cut; rows that repeat are packed each; an empty table gives an empty result;
+    ids may be null; other columns are ignored, whatever their names.
     """
-    cut = scratch.stash(pieces(docs, capacity, tokenizer, end_id, id_col, text_col), "pieces")
-    return pack(cut, capacity, group)
+    return pack(pieces(docs, capacity, tokenizer, end_id, id_col, text_col), capacity, group)

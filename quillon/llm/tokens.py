@@ -17,6 +17,8 @@ import numpy as np
 
 DEFAULT = "word_bpe_49k.json"
 CACHE = 200_000
+#: Chunks longer than this (encoded data, minified code) aren't kept, so the cache stays small in bytes too.
+CACHED_CHARS = 64
 LONG = 2_000
 _END = b"\xff"  # stands for the end of a word: no UTF-8 text holds it
 _ODD = re.compile("[\x1c-\x1f]|<\\|(?:start|end)oftext\\|>")
@@ -58,9 +60,11 @@ class WordBPE:
             for word in self.words(chunk):
                 raw = word.encode() + _END
                 ids += self.merge(raw) if len(raw) < LONG else self.whole.encode(word, add_special_tokens=False).ids
-        if len(self.cache) >= CACHE:
-            self.cache.clear()
-        self.cache[chunk] = found = np.array(ids, "<u4").tobytes()
+        found = np.array(ids, "<u4").tobytes()
+        if len(chunk) <= CACHED_CHARS:
+            if len(self.cache) >= CACHE:
+                self.cache.clear()
+            self.cache[chunk] = found
         return found
 
     def ids(self, text: str | None) -> bytes:
