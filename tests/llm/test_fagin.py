@@ -29,7 +29,7 @@ def test_against_brute_force(spark, levels):
     value = r.standard_normal((120, 6)) * 0.3 if not levels else r.integers(-1, levels, (120, 6)).astype(float)
     rows = [(int(i), v.tolist()) for i, v in enumerate(value)]
     run(spark, rows)
-    run(spark, rows, block=13, queries=4)
+    run(spark, rows, block=13, batch=28)
 
 
 def test_edge_cases(spark):
@@ -40,10 +40,23 @@ def test_edge_cases(spark):
     assert fagin.top_k(empty, F.col("vec_id") % 5 == 0).count() == 0
 
 
-def test_huge_components_are_clamped(spark):
-    df = spark.createDataFrame([(0, [3e38]), (1, [-3e38]), (2, [1.0])], "vec_id long, embedding array<float>")
-    got = [tuple(r) for r in fagin.top_k(df, F.col("vec_id") == 0).orderBy("rank").collect()]
-    assert got == [(0, 1, 2, 256 * fagin.LARGEST), (0, 2, 1, -fagin.LARGEST**2)]
+def test_large_components_are_exact(spark):
+    run(spark, [(0, [1e6, 1.0]), (1, [5e5, 0.0]), (2, [2e6, 0.0])])
+    rows = [(0, [1.0, 2.0**-8]), (1, [2.0**45 + 2.0**25, 3.0]), (2, [2.0**45, 1.0]), (3, [-(2.0**46), 0.0]), (4, [2.0**45, 5.0]), (5, [2.0**-8, 2.0**40])]
+    run(spark, rows)
+    run(spark, rows, block=2)
+    # components and products beyond 64 bits, which none of the results are
+    df = spark.createDataFrame([(0, [1e18, 0.0]), (1, [1e300, 1.0]), (2, [1.0, 0.0]), (5, [0.0, 2.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="exceeds 64 bits"):
+        fagin.top_k(df, F.col("vec_id") == 0, 1).collect()
+    got = [tuple(r) for r in fagin.top_k(df, F.col("vec_id") == 5, 1).collect()]
+    assert got == [(5, 1, 1, 512 * 256)]
+
+
+def test_many_lengths_and_batches(spark):
+    r = np.random.default_rng(9)
+    rows = [(int(i), r.integers(-3, 4, i % 7).astype(float).tolist()) for i in range(150)]
+    run(spark, rows, batch=40, block=9)
 
 
 def test_stops_early():
