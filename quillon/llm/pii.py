@@ -15,10 +15,11 @@ import hashlib
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
+from .skew import attach
 
 KINDS = ["email", "ip", "card", "phone", "generalise", "remove"]
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -76,6 +77,11 @@ def entity(kind: int, value: str) -> str:
     return f"{KINDS[kind]}:" + (value.lower() if kind == 0 else value if kind == 1 else re.sub("[^0-9]", "", value))
 
 
+def terms_of(text: Column) -> Column:
+    """The different terms of a text, in lower case: what :func:`masked_terms` yields for a text without spans."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
+
+
 def masked_terms(text: str, spans: list[tuple[int, int, int]]):
     """``(term, start, end)`` of the terms outside the spans."""
     import regex
@@ -112,25 +118,32 @@ def disclosing_terms(holders: DataFrame, docs: DataFrame, rows: int, share: floa
     that text), ``_entities`` and ``_terms``.
     """
     own = holders.select("_h", "_m", F.explode("_entities").alias("e"))
-    entities = own.groupBy("e").agg(F.bit_xor(F.xxhash64("_h")).alias("c"), F.sum("_m").alias("ne"))
+    # two 64-bit sums of 128-bit digests tell the texts of an entity
+    texts = F.struct(F.bit_xor(F.xxhash64("_h")).alias("x"), F.bit_xor(F.xxhash64("_h", F.lit(1))).alias("y"))
+    entities = scratch.stash(own.groupBy("e").agg(texts.alias("c"), F.sum("_m").alias("ne"), F.count(F.lit(1)).alias("_n")), "entities")
     # entities of the same texts rate every term alike, so one stands for all: a list of addresses isn't paired with all its terms for each
-    classes = entities.groupBy("c").agg(F.min("e").alias("e"), F.first("ne").alias("ne"))
-    own = own.join(classes, "e").select("_h", "_m", "c", "ne")
+    classes = entities.groupBy("c").agg(F.min("e").alias("e"), F.first("ne").alias("ne"), F.first("_n").alias("_n"))
+    mentions = entities.agg(F.sum("_n")).collect()[0][0] or 0
+    own = attach(own, classes, ["e"], "_n", mentions, F.col("_h")).filter("_n is not null").select("_h", "_m", "c", "ne")
+    # a text's classes with its terms: as many rows as the statistic has, summed before they are shuffled
     pairs = own.join(holders.select("_h", F.explode("_terms").alias("t")), "_h")
     joint = pairs.groupBy("c", "t").agg(F.count(F.lit(1)).alias("texts"), F.sum("_m").alias("nj"), F.first("ne").alias("ne"))
     joint = scratch.stash(joint, "joint")
     # in how many rows a term occurs: counted over the whole corpus, summed before the shuffle
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TERM), F.lit(0)))).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("nt"))
-    # an inner join stays above the count; a semi join would be pushed below it and shuffle every word
-    known = joint.join(words, "t")
-    nt = F.greatest("nt", "nj")
+    words = docs.select(F.explode(terms_of(F.col(text_col))).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("nt"))
+    # a term that only one of the two character tables takes for letters counts as often as it meets the entity
+    known = joint.join(words, "t", "left")
+    nt = F.greatest(F.coalesce("nt", "nj"), "nj")
     content = F.log2(F.lit(float(rows)) / F.col("ne"))
     # each text short of the support counts as one with the term in which the entity is as likely as anywhere
     short = F.greatest(F.lit(support) - F.col("texts"), F.lit(0)) * F.col("nj") / F.col("texts")
     information = F.log2((F.col("nj") * F.lit(float(rows)) + short * F.col("ne")) / ((nt + short) * F.col("ne")))
     rated = known.withColumn("r", F.when(content > 0, information / content)).filter(F.col("r") >= share)
-    flags = rated.select("c", "t", F.when(F.col("r") >= remove, KINDS.index("remove")).otherwise(KINDS.index("generalise")).alias("k"))
-    return pairs.select("_h", "c", "t").join(flags, ["c", "t"]).groupBy("_h", "t").agg(F.max("k").alias("k")).groupBy("_h").agg(F.collect_list(F.struct("t", "k")).alias("_flags"))
+    flags = rated.select("c", "t", "texts", F.when(F.col("r") >= remove, KINDS.index("remove")).otherwise(KINDS.index("generalise")).alias("k"))
+    flags = scratch.stash(flags, "rated")
+    total = joint.agg(F.sum("texts")).collect()[0][0] or 0
+    flagged = attach(pairs.select("_h", "_m", "c", "t"), flags, ["c", "t"], "texts", total, F.col("_h")).filter("k is not null")
+    return flagged.groupBy("_h", "t").agg(F.max("k").alias("k"), F.first("_m").alias("_m")).groupBy("_h").agg(F.collect_list(F.struct("t", "k")).alias("_flags"), F.first("_m").alias("_m"))
 
 
 def sanitise(docs: DataFrame, share: float = 0.8, remove: float = 0.97, support: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -143,30 +156,31 @@ def sanitise(docs: DataFrame, share: float = 0.8, remove: float = 0.97, support:
     Every term is rated against every entity it occurs with.  Where both occur in
     fewer than ``support`` different texts, the texts that lack are added as texts with
     the term in which the entity is as likely as anywhere; copies of a text are one
-    text there, but count in all frequencies.  Null
-    texts are empty.  Rows that repeat are rows of their own; ids may be null.  An
-    empty table gives an empty result; other columns are ignored.
+    text there, but count in all frequencies.  Terms are compared in lower case, as
+    the JVM and Python agree on it.  Null and empty texts have no spans; very long ones
+    are read whole.  Rows that repeat are rows of their own; ids may be null.  An
+    empty table gives an empty result; other columns are ignored, whatever their names.
     """
 
     long, string = pa.int64(), pa.string()
-    kinds = {"n_email": long, "n_ip": long, "n_card": long, "n_phone": long, "base_sha256": string, "_base": string, "_h": long, "_text": string, "_entities": pa.list_(string), "_terms": pa.list_(string)}
+    kinds = {"n_email": long, "n_ip": long, "n_card": long, "n_phone": long, "base_sha256": string, "_base": string, "_h": pa.binary(), "_k": long, "_text": string, "_entities": pa.list_(string), "_terms": pa.list_(string)}
 
     def find(frames):
         for f in frames:
             out = []
-            for text in f.column("_text").to_pylist():
+            for row, text in enumerate(f.column("_text").to_pylist()):
                 spans = base_spans(text)
                 n = [sum(k == i for k, _, _ in spans) for i in range(4)]
-                digest = int.from_bytes(hashlib.blake2b((text or "").encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) if spans else None
+                digest = hashlib.blake2b((text or "").encode("utf-8", "surrogatepass"), digest_size=16).digest() if spans else None
                 entities = sorted({entity(k, text[s:e]) for k, s, e in spans}) if spans else None
                 terms = sorted({t for t, _, _ in masked_terms(text, spans)}) if spans else None
                 line = joined(spans)
-                out.append((*n, hashlib.sha256(line.encode()).hexdigest(), line, digest, text if spans else None, entities, terms))
+                out.append((*n, hashlib.sha256(line.encode()).hexdigest(), line, digest, row, text if spans else None, entities, terms))
             # Arrow arrays: pandas would round ids and hashes beside nulls
             columns = zip(*out, strict=True) if out else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([f.column("_id"), *[pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)]], names=["_id", *kinds])
 
-    schema = "_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, _base string, _h long, _text string, _entities array<string>, _terms array<string>"
+    schema = "_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, _base string, _h binary, _k long, _text string, _entities array<string>, _terms array<string>"
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     found = scratch.stash(rows.mapInArrow(find, schema), "personal")
     total = found.count()
@@ -191,7 +205,7 @@ def sanitise(docs: DataFrame, share: float = 0.8, remove: float = 0.97, support:
 
     plain = ["_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256"]
     kept = "_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_terms long, sanitised string"
-    with_flags = texts.join(flags, "_h", "left").select(*plain, "_text", "_flags").mapInArrow(locate, kept)
+    with_flags = attach(texts, flags, ["_h"], "_m", total, F.struct("_id", "_k")).select(*plain, "_text", "_flags").mapInArrow(locate, kept)
     clean = found.filter("_h is null").select(*plain, F.col("_base").alias("spans"), F.lit(0).cast("long").alias("n_terms"), F.lit(None).cast("string").alias("sanitised"))
     both = with_flags.unionByName(clean)
     return both.select(F.col("_id").alias(id_col), *both.columns[1:])

@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quillon.llm import pii
 
@@ -75,7 +76,7 @@ def test_disclosing_terms(spark):
 def rated_by_brute_force(texts, share, remove, support):
     """Flagged terms of each text: every entity with every term of its texts."""
     found = [({pii.entity(k, t[s:e]) for k, s, e in pii.base_spans(t)}, {w for w, _, _ in pii.masked_terms(t, pii.base_spans(t))}) for t in texts]
-    words = Counter(w for t in texts for w in set(re.findall(r"[a-z]{3,}", t.lower())))
+    words = Counter(w for t in texts for w in {w.lower() for w in re.findall(r"[^\W\d_]{3,}", t)})
     out = [{} for _ in texts]
     for e in {e for es, _ in found for e in es}:
         own = [k for k, (es, _) in enumerate(found) if e in es]
@@ -109,6 +110,30 @@ def test_entities_in_few_texts_are_rated(spark):
             assert got == want[row.doc_id]
 
 
+def test_rating_beyond_ascii(spark):
+    """Terms are the same on both sides whatever lower case does to them."""
+    r = random.Random(6)
+    words = ["İstanbul", "İzmirli", "Straße", "STRASSE", "ΣΟΦΟΣ", "σοφος", "Mannheim", "École", "kelvin", "\u212aelvin"]
+    texts = [f"{words[k % 10]} and {words[k * 7 % 10]} wrote n{k // 3}@x.example about {r.choice(words)}" for k in range(60)]
+    texts += [f"nothing about {r.choice(words[3:])} number {'abcdefghij'[k % 10] * 3}" for k in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = rated_by_brute_force(texts, 0.3, 0.97, 3)
+    flagged = set()
+    for row in pii.sanitise(df, share=0.3).collect():
+        spans = [x.split(":") for x in row.spans.split(",")] if row.spans else []
+        got = {texts[row.doc_id][int(s):int(e)].lower(): pii.KINDS.index(k) for k, s, e in spans if k in ("generalise", "remove")}
+        assert got == want[row.doc_id]
+        flagged |= set(got)
+    assert {"İstanbul".lower(), "İzmirli".lower()} <= flagged
+
+
+def test_terms_are_the_same_in_both_languages(spark):
+    texts = ["İstanbul ŞİŞLİ ẞ STRASSE straße", "ΑΣ ΣΟΦΟΣ ΌΔΟΣ σοφός", "ǅungla Ǆ ﬁn Ωhm \u212aelvin", "a1bcd2efg abc_def don't ÀÉÎ 日本語", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for row in df.select("text", pii.terms_of(F.col("text")).alias("t")).collect():
+        assert set(row.t) == {t for t, _, _ in pii.masked_terms(row.text, [])}
+
+
 def test_long_ids_beside_nulls(spark):
     ids = [2**53 + 1, None, 2**62 + 3, -(2**60) - 7]
     df = spark.createDataFrame([(i, f"mail a{k}@b.cd" if k % 2 else "none") for k, i in enumerate(ids)] + [(2**53 + 3, "mail x@y.zz")], "doc_id long, text string").coalesce(1)
