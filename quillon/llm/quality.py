@@ -1,7 +1,7 @@
 """Quality classifier: gradient-boosted trees over document statistics (operator 6).
 
-A bounded sample of labelled rows (at most ``train_rows``, those with the smallest
-hash of their id) is turned into statistics of the text and fitted on the driver:
+A bounded sample of labelled rows (at most ``train_rows`` ids, those with the smallest
+hash, and at most as many rows) is turned into statistics of the text and fitted on the driver:
 features are cut into histogram bins, trees grow level by level on gradient
 histograms.  The trees are flattened into arrays of complete binary trees, which
 every task walks for a whole batch at once.
@@ -106,21 +106,25 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Trees:
-    """Fit on at most ``train_rows`` labelled ids outside the held-out fold.
+    """Fit on at most ``train_rows`` labelled rows outside the held-out fold.
 
-    An id with several labels has their mean; null labels and ids don't count; of
-    an id's several texts each is a row.
+    An id with several labels has their mean; null and not finite labels and null ids
+    don't count, others are cut to [0, 1]; of an id's several texts each is a row, and
+    repeated rows are one.
     """
-    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("_y")).filter("_id is not null and _y is not null").filter(~held_out(F.col("_id")))
+    y = F.least(F.greatest(F.col(label_col).cast("double"), F.lit(0.0)), F.lit(1.0))
+    finite = ~F.isnan("_raw") & (F.abs("_raw") < float("inf"))
+    known = labels.select(F.col(id_col).alias("_id"), y.alias("_y"), F.col(label_col).cast("double").alias("_raw")).filter(F.col("_id").isNotNull() & finite).filter(~held_out(F.col("_id")))
     known = known.groupBy("_id").agg(F.avg("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(train_rows)
 
     def measure(frames):
         for f in frames:
-            yield pd.DataFrame({"y": f["_y"], "x": [statistics(t) for t in f["_text"]]})
+            yield pd.DataFrame({"h": f["_h"], "y": f["_y"], "x": [statistics(t) for t in f["_text"]]})
 
     # at most train_rows rows of two numbers are broadcast
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(known), "_id").select("_text", "_y")
-    got = rows.mapInPandas(measure, "y double, x array<double>").toPandas()
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(known), "_id").select(F.xxhash64("_id").alias("_h"), "_text", "_y")
+    # an id may repeat in the table: equal rows are summed up before the shuffle, and the rows are bounded as the ids are
+    got = rows.mapInPandas(measure, "h long, y double, x array<double>").dropDuplicates(["h", "x"]).orderBy("h", "x").limit(train_rows).toPandas()
     x = np.array(got["x"].tolist(), float).reshape(len(got), len(FEATURES))
     order = np.lexsort((*x.T, got["y"].to_numpy())) if len(got) else []
     return fit(x[order], got["y"].to_numpy(float)[order])
@@ -157,7 +161,13 @@ def classify(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, i
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, limit: float = 0.5, **options) -> DataFrame:
-    """The rows of ``docs`` whose score is at least ``limit``, with their own columns."""
+    """The rows of ``docs`` whose score is at least ``limit``, with their own columns.
+
+    Every row is judged by its text alone: null and empty texts by the empty text's
+    statistics, repeated rows and rows without an id each, very long texts whole.  Without
+    usable labels every score is 0.5.  An empty table stays empty.  Columns may have
+    any names.
+    """
     trees = train(docs, labels, **options)
     names = {c: f"_c{k}" for k, c in enumerate(docs.columns)}
     text = names[options.get("text_col", "text")]
