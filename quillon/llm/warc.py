@@ -1,8 +1,8 @@
 """WARC archives: a writer and a sequential reader (operator 8).
 
 Archives hold one gzip member for each record.  The reader inflates them piece by
-piece, frames each record's block by its content length and verifies the payload
-digest of responses.  Archives lie in the shared folder; a task writes under a
+piece, frames each record's block by its content length and verifies the block and
+payload digests.  Archives lie in the shared folder; a task writes under a
 temporary name and moves the file when it is complete, and only the files that
 successful tasks report are read.
 """
@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
+from .skew import attach
 
 DATE = "1970-01-01T00:00:00Z"  # the table has no times; fixed, so that archives are reproducible
 PIECE = 1 << 16
@@ -56,7 +57,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     lines.append(f"WARC-Payload-Digest: sha1:{digest}")
     if revisit:
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"X-Refers-To-Page-ID: {refers_to}"]
-    lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
+    lines += [f"WARC-Block-Digest: sha1:{digest_of(block)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -75,8 +76,21 @@ def _headers(raw: bytes) -> dict[str, str]:
     return out
 
 
-def read_records(stream, verify: bool = True):
-    """``(headers, payload)`` of each record of a stream with ``read(n)``, one member at a time."""
+def _verify(head: dict[str, str], kind: str, data: bytes) -> None:
+    """Compare a digest of the header with the data's; those of other algorithms than SHA-1 can't be."""
+    algorithm, _, value = head.get(f"warc-{kind}-digest", "").partition(":")
+    if algorithm.lower() == "sha1" and value.upper() != digest_of(data):
+        raise WarcError(f"{kind} digest differs in {head.get('warc-record-id')}")
+
+
+def read_records(stream, verify: bool = True, most_header: int = MAX_HEADER):
+    """``(headers, payload)`` of each record of a stream with ``read(n)``, one member at a time.
+
+    Records of every type are read.  The payload is what follows the HTTP header where
+    the block holds HTTP, else the block; ``payload-length`` in the headers is the
+    length that the HTTP header names (of a revisit's payload, which isn't there), else
+    that of the payload.  A header longer than ``most_header`` counts as damage.
+    """
     rest = b""
     while True:
         if not rest:
@@ -103,43 +117,50 @@ def read_records(stream, verify: bool = True):
                     if not head.get("content-length", "").isdigit():
                         raise WarcError("no content length")
                     need = int(head["content-length"])
-                elif len(buffer) > MAX_HEADER:
+                elif len(buffer) > most_header:
                     raise WarcError("header too long")
         if head is None or len(buffer) != need + 4 or buffer[need:] != b"\r\n\r\n":
             raise WarcError("the block doesn't have its content length")
-        at = buffer.find(b"\r\n\r\n")
-        if at < 0 or at + 4 > need:
-            raise WarcError("no HTTP header")
-        payload = bytes(buffer[at + 4 : need])
-        http = _headers(bytes(buffer[:at]))
-        head["payload-length"] = http.get("content-length", "0")
-        if head.get("warc-type") == "response":
-            if verify and head.get("warc-payload-digest") != f"sha1:{digest_of(payload)}":
-                raise WarcError(f"payload digest differs in {head.get('warc-record-id')}")
-            if int(head["payload-length"]) != len(payload):
-                raise WarcError("payload length differs")
+        kind, payload, named = head.get("warc-type"), bytes(buffer[:need]), None
+        if not kind:
+            raise WarcError("no record type")
+        if verify:
+            _verify(head, "block", payload)
+        if head.get("content-type", "").lower().startswith("application/http"):
+            at = payload.find(b"\r\n\r\n")
+            if at < 0:
+                raise WarcError("no HTTP header")
+            http, payload = _headers(payload[:at]), payload[at + 4 :]
+            named = http.get("content-length")
+        whole = kind != "revisit" and "warc-truncated" not in head
+        if verify and whole:
+            _verify(head, "payload", payload)
+        if whole and named is not None and "x-page-id" in head and int(named) != len(payload):
+            raise WarcError("payload length differs")
+        head["payload-length"] = named if named is not None and not whole else str(len(payload))
         yield head, payload
 
 
 def write_archives(pages: DataFrame, folder: str, least_revisit: int = 0, level: int = 6, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Write every row as a record below ``folder`` (a URI that all executors reach).
 
-    Returns the archives: ``path``, ``records``, ``bytes``.  Of payloads that are
+    Returns the archives: ``path``, ``records``, ``bytes``, ``header`` (length of the
+    longest record header).  Of payloads that are
     equal and at least ``least_revisit`` bytes long, the one with the largest id is
     a response and the others revisit it; rows that repeat that id with the same
     payload are responses too.  Null payloads are empty.  A row without an id
-    never is referred to, and is a response if no equal payload has an id.
+    never is referred to, and is a response if no equal payload has an id.  Urls and
+    payloads may have any length.  Payloads are equal if their SHA-256 and lengths are.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("_id"), F.col(url_col).cast("string").alias("_url"), F.coalesce(F.col(html_col), F.lit("")).alias("_html"))
-    rows = rows.withColumns({"_sha": F.unhex(F.sha1("_html")), "_bytes": F.octet_length("_html")})
+    rows = rows.withColumns({"_sha": F.unhex(F.sha2("_html", 256)), "_bytes": F.octet_length("_html")})
     # one row for each payload that occurs more than once, summed before the shuffle
-    same = rows.filter(F.col("_bytes") >= least_revisit).groupBy("_sha", "_bytes").agg(F.max("_id").alias("_top"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
-    typed = rows.join(same, ["_sha", "_bytes"], "left").withColumn("_refers", F.when(F.col("_top").isNotNull() & ~F.col("_id").eqNullSafe(F.col("_top")), F.col("_top")))
+    same = rows.filter(F.col("_bytes") >= least_revisit).groupBy("_sha", "_bytes").agg(F.max("_id").alias("_top"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    same = scratch.stash(same, "same")
+    typed = attach(rows, same, ["_sha", "_bytes"], "_n", pages.count(), F.struct("_id", "_url")).withColumn("_refers", F.when(F.col("_top").isNotNull() & ~F.col("_id").eqNullSafe(F.col("_top")), F.col("_top")))
 
     def write(frames):
-        from pyarrow import fs
-
-        store, base = fs.FileSystem.from_uri(folder)
+        store, base = _store(folder)
         store.create_dir(base, recursive=True)
         out, name, done = None, "", []
 
@@ -152,9 +173,11 @@ def write_archives(pages: DataFrame, folder: str, least_revisit: int = 0, level:
                 if out is None:
                     name = f"{uuid.uuid4().hex}.warc.gz"
                     out = store.open_output_stream(f"{base}/.{name}", compression=None)
-                    done.append([f"{folder}/{name}", 0, 0])
+                    done.append([f"{folder}/{name}", 0, 0, 0])
                 revisit = refers is not None
-                data = member(record(key, url, html.encode("utf-8", "surrogatepass"), refers, revisit), level)
+                data = record(key, url, html.encode("utf-8", "surrogatepass"), refers, revisit)
+                done[-1][3] = max(done[-1][3], data.find(b"\r\n\r\n") + 4)
+                data = member(data, level)
                 out.write(data)
                 done[-1][1] += 1
                 done[-1][2] += len(data)
@@ -164,32 +187,43 @@ def write_archives(pages: DataFrame, folder: str, least_revisit: int = 0, level:
         if out is not None:
             close()
         if done:
-            yield pa.RecordBatch.from_pylist([dict(zip(("path", "records", "bytes"), d, strict=True)) for d in done])
+            yield pa.RecordBatch.from_pylist([dict(zip(("path", "records", "bytes", "header"), d, strict=True)) for d in done])
 
     slim = typed.select("_id", "_url", "_html", "_refers")
-    return slim.mapInArrow(write, "path string, records long, bytes long")
+    return slim.mapInArrow(write, "path string, records long, bytes long, header long")
+
+
+def _store(uri: str):
+    """The Arrow file system of a URI and the path in it; Hadoop's names of S3 are known too."""
+    from pyarrow import fs
+
+    for name in ("s3a://", "s3n://"):
+        if uri.startswith(name):
+            uri = "s3://" + uri[len(name) :]
+    return fs.FileSystem.from_uri(uri)
 
 
 def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
     """The records of the archives named in ``path``, each archive read in sequence by one task.
 
     ``page_id``, ``url``, ``payload_bytes``, ``payload_digest``, ``record_type``,
-    ``refers_to``, and ``payload`` (null for revisits) if asked for.  A damaged
-    archive raises :class:`WarcError`.
+    ``refers_to``, and ``payload`` (null for revisits) if asked for.  ``header``, if
+    there, is the longest record header to expect.  Records of other writers have a null
+    page id; of those without a payload digest it is computed.  A damaged archive
+    raises :class:`WarcError`.
     """
 
     def read(frames):
-        from pyarrow import fs
-
         for f in frames:
-            for path in f.column("path").to_pylist():
-                store, place = fs.FileSystem.from_uri(path)
+            for path, longest in zip(f.column("path").to_pylist(), f.column("header").to_pylist(), strict=True):
+                store, place = _store(path)
                 rows, held = [], 0
                 with store.open_input_stream(place, compression=None) as stream:
-                    for head, payload in read_records(stream):
+                    for head, payload in read_records(stream, most_header=max(longest or 0, MAX_HEADER)):
                         revisit = head["warc-type"] == "revisit"
+                        digest = head.get("warc-payload-digest", "").rpartition(":")[2] or (None if revisit else digest_of(payload))
                         number = lambda k, head=head: int(head[k]) if k in head else None
-                        rows.append((number("x-page-id"), head.get("warc-target-uri"), number("payload-length"), head["warc-payload-digest"].removeprefix("sha1:"), head["warc-type"], number("x-refers-to-page-id"), payload if payloads and not revisit else None))
+                        rows.append((number("x-page-id"), head.get("warc-target-uri"), number("payload-length"), digest, head["warc-type"], number("x-refers-to-page-id"), payload if payloads and not revisit else None))
                         held += len(payload) * payloads
                         if len(rows) >= 5000 or held > 32 << 20:
                             yield _frame(rows, payloads)
@@ -199,7 +233,17 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
 
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads
     # a task for each archive: the paths are few bytes, so they would else be read by one task
-    return archives.select("path").repartition(max(1, archives.count())).mapInArrow(read, schema)
+    longest = F.col("header") if "header" in archives.columns else F.lit(None)
+    return archives.select("path", longest.cast("long").alias("header")).repartition(max(1, archives.count())).mapInArrow(read, schema)
+
+
+def broken_revisits(records: DataFrame) -> DataFrame:
+    """The revisits of ``records`` (as :func:`read_archives` gives them) to which no response with the same digest and length belongs."""
+    key = ["refers_to", "payload_digest", "payload_bytes"]
+    held = records.filter("record_type = 'response'").select(F.col("page_id").alias("refers_to"), *key[1:]).distinct()
+    # a payload may have any number of revisits: those of the same one are summed up before they meet its response
+    wanted = records.filter("record_type = 'revisit'").groupBy(*key).agg(F.count(F.lit(1)).alias("revisits"))
+    return wanted.join(held, key, "left_anti")
 
 
 def _frame(rows: list, payloads: bool) -> pa.RecordBatch:

@@ -73,3 +73,40 @@ def test_long_ids_beside_nulls(spark):
     rows = [(2**53 + 1, "http://a", "same"), (2**53 + 3, "http://b", "same"), (None, "http://c", "other"), (2**62 + 3, "http://d", "alone")]
     got = warc.round_trip(frame(spark, rows).coalesce(1)).collect()
     assert {(r.page_id, r.refers_to) for r in got} == {(2**53 + 1, 2**53 + 3), (2**53 + 3, None), (None, None), (2**62 + 3, None)}
+
+
+def other(kind, block, *more):
+    head = ["WARC/1.0", f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:0>", *more, f"Content-Length: {len(block)}"]
+    return warc.member("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+
+def test_records_of_every_type_are_read(spark, tmp_path):
+    body = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\nContent-Length: 3\r\n\r\n<p>other writer</p>"
+    raw = [
+        other("warcinfo", b"software: some crawler\r\n", "Content-Type: application/warc-fields"), other("request", b"GET / HTTP/1.1\r\n\r\n", "Content-Type: application/http; msgtype=request"),
+        other("response", body, "WARC-Target-URI: http://a/", "Content-Type: application/http; msgtype=response", "WARC-Block-Digest: md5:abc"), other("metadata", b"", "Content-Type: application/warc-fields"),
+        other("resource", b"\x00\xff", "WARC-Payload-Digest: sha1:" + warc.digest_of(b"\x00\xff").lower()), other("x-dns", b"a 1.2.3.4"), data(),
+    ]
+    path = tmp_path / "mixed.warc.gz"
+    path.write_bytes(b"".join(raw))
+    rows = warc.read_archives(spark.createDataFrame([(f"file://{path}",)], "path string")).collect()
+    assert [r.record_type for r in rows] == ["warcinfo", "request", "response", "metadata", "resource", "x-dns", *["response"] * 4]
+    assert bytes(rows[2].payload) == b"<p>other writer</p>" and rows[2].payload_digest == warc.digest_of(b"<p>other writer</p>") and rows[2].page_id is None
+    assert bytes(rows[0].payload).startswith(b"software") and rows[3].payload_bytes == 0
+    bad = other("resource", b"x", "WARC-Block-Digest: sha1:" + warc.digest_of(b"y"))
+    with pytest.raises(warc.WarcError, match="block digest"):
+        list(warc.read_records(io.BytesIO(bad)))
+
+
+def test_urls_of_any_length(spark):
+    url = "http://a/" + "".join(chr(33 + (k * k * 7919 + k) % 90) for k in range(1_500_000))
+    got = warc.round_trip(frame(spark, [(1, url, "x"), (2, "http://b", "x")])).collect()
+    assert {(r.page_id, r.refers_to) for r in got} == {(1, 2), (2, None)}
+
+
+def test_revisits_are_held_against_their_responses(spark):
+    archives = scratch.stash(warc.write_archives(frame(spark, ROWS), scratch.new_path(spark, "t")), "t")
+    records = scratch.stash(warc.read_archives(archives, payloads=False), "r")
+    assert warc.broken_revisits(records).count() == 0
+    top = records.filter("refers_to is not null").first().refers_to
+    assert warc.broken_revisits(records.filter(f"record_type = 'revisit' or page_id <> {top}")).first().refers_to == top
