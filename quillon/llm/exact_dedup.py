@@ -82,6 +82,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return whole.select(*ids, *carried, *[c.alias(n) for n, c in out.items()])
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of equal texts: see :func:`exact_dedup` for which.
+
+    Null and empty texts and texts of blanks are one group; of rows that repeat, or tie in
+    length and id, exactly one stays; a null id loses to any other.  Very long texts are
+    compared whole.  An empty table stays empty.  Columns may have any names.
+    """
+    rows, names = scratch.positional(docs)
+    found = exact_dedup(rows, names[id_col], names[text_col], carry=rows.columns, prefix="_")
+    return found.filter("_kept").select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
 ORACLE = r"""
 WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS cp,
                   regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),

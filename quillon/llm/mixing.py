@@ -22,6 +22,8 @@ from . import scratch, token_counts, tokens
 BLOCK_DOCS = 10_000
 #: The weights are found on the driver; more sources than this raise an error.
 MAX_SOURCES = 1_000_000
+#: Copies of a row that are made at once.
+COPIES = 1000
 _SPAN = float(1 << 62)
 
 
@@ -83,9 +85,9 @@ def mix(docs: DataFrame, budget: int | None = None, entropy_share: float | None
     one apart, and is returned too.  Other columns are ignored.
     """
     spark = docs.sparkSession
-    key = [F.col(row_col).alias("_row")] if row_col else []
-    named = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.col(text_col).alias("_text"), *key)
-    slim = scratch.stash(token_counts.token_lengths(named, tokenizer, ("_id", "_source", *(["_row"] if row_col else [])), "_text"), "lengths")
+    row = F.col(row_col) if row_col else F.when(F.col(id_col).isNull(), F.xxhash64(text_col))
+    named = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.col(text_col).alias("_text"), row.alias("_row"))
+    slim = scratch.stash(token_counts.token_lengths(named, tokenizer, ("_id", "_source", "_row"), "_text"), "lengths")
 
     sums = slim.groupBy("_source").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n")).orderBy(F.col("_source").asc_nulls_first()).limit(MAX_SOURCES + 1).collect()
     if len(sums) > MAX_SOURCES:
@@ -103,32 +105,37 @@ def mix(docs: DataFrame, budget: int | None = None, entropy_share: float | None
     plan_df = F.broadcast(spark.createDataFrame(plan, shape))  # a row for each source; their number is checked above
 
     epochs = slim.join(plan_df, F.col("_source").eqNullSafe(F.col("_s"))).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_whole"))))
-    drawn = F.xxhash64(F.lit(seed), "epoch", "_id")
-    if row_col:
-        drawn = F.when(F.col("_id").isNull(), F.xxhash64(F.lit(seed), "epoch", "_row")).otherwise(drawn)
+    # without an id the row, or its text, decides: those rows too spread over blocks
+    drawn = F.when(F.col("_id").isNull(), F.xxhash64(F.lit(seed), "epoch", "_row")).otherwise(F.xxhash64(F.lit(seed), "epoch", "_id"))
     u = F.shiftrightunsigned(drawn, 2)
     dealt = epochs.withColumn("_u", u).withColumn("block", F.least(F.floor(F.col("_u") / F.lit(_SPAN) * F.col("_blocks")), F.col("_blocks") - 1))
 
     sums_by_block = dealt.filter("epoch = _whole").groupBy("_source", "epoch", "block").agg(F.sum("n_tokens").alias("_sum"))
     before = Window.partitionBy("_source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     sums_by_block = sums_by_block.select(F.col("_source").alias("_bs"), F.col("epoch").alias("_be"), F.col("block").alias("_bb"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
-    order = Window.partitionBy("_source", "epoch", "block").orderBy("_u", F.col("_id").asc_nulls_last(), *(["_row"] if row_col else []))
+    order = Window.partitionBy("_source", "epoch", "block").orderBy("_u", F.col("_id").asc_nulls_last(), F.col("_row").asc_nulls_last())
     placed = dealt.withColumns({"position": F.row_number().over(order), "_run": F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, 0))})
     placed = placed.join(sums_by_block, F.col("_source").eqNullSafe(F.col("_bs")) & (F.col("epoch") == F.col("_be")) & (F.col("block") == F.col("_bb")), "left")
     taken = placed.filter((F.col("epoch") < F.col("_whole")) | ((F.col("_left") > 0) & (F.col("_before") + F.col("_run") <= F.col("_left"))))
     return taken.select(F.col("_id").alias(id_col), F.col("_source").alias("source"), "n_tokens", "epoch", "block", "position", "weight", F.lit(exponent).alias("exponent"), *([F.col("_row").alias(row_col)] if row_col else []))
 
 
-def mix_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """``docs`` with every row as often as :func:`mix` chose it, whether its id is null or repeats.
 
-    Rows that repeat in all columns share their copies as evenly as whole copies allow.
+    Rows that are equal in all columns but maps are interchangeable: they come as often
+    as they were chosen together.  Rows of a source without tokens go; null and empty
+    texts of other sources have no tokens and stay in every whole epoch.  Very long texts
+    that exceed what is left of a budget are left out of its partial epoch.  An empty
+    table stays empty.  Columns may have any names.
     """
-    # maps can't be hashed; rows that differ in nothing else count as repeated
-    keyed = docs.withColumn("_row", F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind]))
-    n = keyed.groupBy("_row").agg(F.count(F.lit(1)).alias("_rows"))
-    chosen = mix(keyed, id_col=id_col, row_col="_row", **options).groupBy("_row").agg(F.count(F.lit(1)).alias("_n"))
-    joined = keyed.join(n.join(chosen, "_row"), "_row").withColumn("_k", F.row_number().over(Window.partitionBy("_row").orderBy("_row")))
-    copies = F.floor(F.col("_n") / F.col("_rows")) + F.when(F.col("_k") <= F.col("_n") % F.col("_rows"), 1).otherwise(0)
-    dealt = joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies.cast("int"))))
-    return dealt.select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows, names = scratch.positional(docs)
+    compared = [names[c] for c, kind in docs.dtypes if "map<" not in kind]  # maps can't be hashed
+    keyed = rows.withColumn("_row", F.concat(F.hex(F.xxhash64(*compared)), F.lit("-"), F.hex(F.xxhash64(F.lit(1), *compared))))
+    chosen = mix(keyed, id_col=names[id_col], text_col=names[text_col], source_col=names[source_col], row_col="_row", **options)
+    chosen = chosen.groupBy("_row").agg(F.count(F.lit(1)).alias("_n"))
+    # equal rows are put together before the shuffle
+    one = keyed.groupBy("_row").agg(F.first(F.struct(*names.values())).alias("_r")).join(chosen, "_row")
+    many = one.withColumn("_at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(COPIES).cast("long"))))
+    many = many.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.least(F.lit(COPIES), F.col("_n") - F.col("_at")).cast("int"))))
+    return many.select(*[F.col(f"_r.{n}").alias(c) for c, n in names.items()])

@@ -442,6 +442,21 @@ def near_dedup(docs: DataFrame, percent: int = 85, words: int = WORDS, miss: flo
     return rows.select(F.col("_id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("_id"), F.lit(True)).alias("kept"))
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with, of each group of near duplicates, the rows of its smallest id: see :func:`near_dedup`.
+
+    Rows without words and rows without an id are in no group and stay; rows that share
+    an id are in one group, and those of its smallest id all stay.  An empty table stays
+    empty.  Columns may have any names.
+    """
+    rows, names = scratch.positional(docs)
+    found = near_dedup(rows, id_col=names[id_col], text_col=names[text_col], **options)
+    kept = found.filter(F.col("kept") & F.col(names[id_col]).isNotNull()).select(F.col(names[id_col]).alias("_id"))
+    # rows without an id would all meet in one task of the join
+    both = rows.join(kept, F.col(names[id_col]) == F.col("_id"), "left_semi").unionByName(rows.filter(F.col(names[id_col]).isNull()))
+    return both.select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
 ORACLE = r"""
 WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 4], ' ') END AS shingle

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import scratch
+
 TRAIN_ROWS = 20_000
 FOLDS, HELD_OUT = 3, 1
 MARKS = b"!?.,;:|%$#&*<>{}()[]/\\=_-+@\"'~^"
@@ -169,7 +171,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, limit: float = 0.5, **options)
     any names.
     """
     trees = train(docs, labels, **options)
-    names = {c: f"_c{k}" for k, c in enumerate(docs.columns)}
-    text = names[options.get("text_col", "text")]
-    kept = score(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), trees, text).filter(F.col("_score") >= limit)
+    rows, names = scratch.positional(docs)
+    kept = score(rows, trees, names[options.get("text_col", "text")]).filter(F.col("_score") >= limit)
     return kept.select(*[F.col(n).alias(c) for c, n in names.items()])

@@ -51,5 +51,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def positional(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns ``_c0``, ``_c1``, ..., which no name of an operator's own can clash with, and the new name of each old one."""
+    names = {c: f"_c{k}" for k, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

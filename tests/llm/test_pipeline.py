@@ -72,5 +72,41 @@ def test_stages(spark, tmp_path):
     assert max(fill.values()) <= 4096 and len(fill) <= -(-sum(fill.values()) // 4096) + 1
 
 
+ODD = "doc_id long, text string, lang string, source string, n_chars long, _kept boolean, _dedup_kept int, _row string, _n long, _c0 int, score double, kept int, epoch int"
+
+
+def odd_rows():
+    word = "some plain words that tell of a quiet morning by the river and of nothing else at all"
+    rows = [(None, word), (None, word), (None, None), (1, None), (2, ""), (3, " \t"), (4, word), (4, word), (5, word + "."), (6, "x " * 120_000), (7, "one"), (8, "One"), (9, word * 3)]
+    return [(i, t, "en", "ab"[k % 2] if k != 3 else None, None, None, 1, "r", 5, 0, 0.5, 2, 3) for k, (i, t) in enumerate(rows)]
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_take_odd_tables(spark, k):
+    """Null ids, texts and sources, ties, repeated rows, a very long text, no rows, and columns named like the operators' own."""
+    stage, rows = corpus_pipeline.STAGES[k][1], odd_rows()
+    docs = spark.createDataFrame(rows, ODD).repartition(3)
+    out = stage(spark, docs, TINY)
+    assert stage(spark, docs.limit(0), TINY).count() == 0
+    if k == 4:
+        got = out.collect()
+        ids = Counter(r.doc_id for r in got if r.piece == 0)
+        assert ids == Counter(r[0] for r in rows) and sum(r.length for r in got if r.doc_id == 2) == 1
+        return
+    assert out.columns == docs.columns and out.schema == docs.schema
+    got = Counter(tuple(r) for r in out.collect())
+    if k == 0:
+        assert got <= Counter(rows)
+    elif k == 1:
+        groups = {}
+        for r in rows:
+            groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", r[1] or ""), []).append((-len(r[1] or ""), r[0] is None, r[0] or 0, str(r)))
+        assert Counter(str(r) for r in got.elements()) == Counter(min(g)[3] for g in groups.values())
+    elif k == 2:
+        assert Counter((r[0], r[1]) for r in got.elements()) == Counter((r[0], r[1]) for r in rows if r[0] not in (5, 8))
+    else:
+        assert set(got) <= set(rows) and sum(got.values()) > 0
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, TINY).count() > 0
