@@ -7,38 +7,61 @@ columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from quillon.llm import exact_dedup, mixing, near_dedup, packing, quality, scratch
 
 
 def quality_stage(spark, docs, sf_dir):
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go.
+
+    The labels of ``sf_dir`` fit it.  Every row is judged by its whole text alone: null and
+    empty texts as the empty text, repeated rows and rows without an id each.  An empty
+    table stays empty; other columns may have any names.
+    """
+    scratch.prepare(spark)
     return quality.keep_good(docs, scratch.table(spark, sf_dir, "labels"))
 
 
 def exact_dedup_stage(spark, docs, sf_dir):
-    """Of documents with equal normalised texts one stays."""
+    """Of documents with equal normalised texts one stays: the longest, then the smallest id.
+
+    Null, empty and blank texts are equal; a null id loses to any other; of rows that
+    repeat one stays.  Very long texts are compared whole.  An empty table stays empty;
+    other columns may have any names.
+    """
     scratch.prepare(spark)
-    found = exact_dedup.exact_dedup(docs, carry=docs.columns, prefix="_dedup_")
-    return found.filter("_dedup_kept").select(*docs.columns)
+    return exact_dedup.keep_one(docs)
 
 
 def near_dedup_stage(spark, docs, sf_dir):
-    """Of each group of near duplicates (word 5-shingles, similarity 0.8 or more) the smallest id stays."""
+    """Of each group of near duplicates (word 5-shingles, similarity 0.8 or more) the smallest id stays.
+
+    Rows without words or without an id are in no group and stay; rows that share an id
+    are one group and stay together.  Very long texts are compared whole.  An empty table
+    stays empty; other columns may have any names.
+    """
     scratch.prepare(spark)
-    found = near_dedup.near_dedup(docs, percent=80)
-    return docs.join(found.filter("kept").select(F.col("doc_id").alias("_kept")), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    return near_dedup.keep_one(docs, percent=80)
 
 
 def mixing_stage(spark, docs, sf_dir):
-    """Each source gets its tempered share of the token budget: its documents in whole epochs and a part."""
+    """Each source gets its tempered share of the token budget: its documents in whole epochs and a part.
+
+    A null source is a source; sources without tokens go; rows without an id, with a
+    repeated one and repeated rows are chosen one by one.  A text longer than what is left
+    of its source's budget is not in the partial epoch.  An empty table stays empty;
+    other columns may have any names.
+    """
     scratch.prepare(spark)
     return mixing.mix_documents(docs)
 
 
 def packing_stage(spark, docs, sf_dir):
-    """The documents' pieces with their places in sequences of 4096 tokens."""
+    """The documents' pieces with their places in sequences of 4096 tokens.
+
+    Null and empty texts are the end id alone; longer ones than a sequence are cut; rows
+    that repeat and rows without an id are packed each.  An empty table gives no pieces;
+    other columns are ignored.
+    """
     scratch.prepare(spark)
     return packing.pack_documents(docs)
 
