@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -33,8 +34,9 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The application's folder below ``spark.checkpoint.dir``, as a full URI.
 
-    Only where that setting is absent (tests on one machine) a temporary folder is
-    made and set as the checkpoint folder.
+    Only where that setting is absent and the master is local (tests on one machine) a
+    temporary folder is made and set as the checkpoint folder; on a cluster, whose
+    executors would each write to their own disk, it is an error.
     """
     context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -42,6 +44,8 @@ def shared_dir(spark: SparkSession) -> str:
         made = context._jsc.sc().getCheckpointDir()
         base = made.get() if made.isDefined() else None
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quillon-checkpoints-")
         context.setCheckpointDir(base)
     path = context._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/quillon-{context.applicationId}")
