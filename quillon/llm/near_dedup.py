@@ -365,7 +365,9 @@ def confirmed_links(docs: DataFrame, clusters: DataFrame, sizes: DataFrame, perc
     total = clusters.count()
     nodes = clusters.select(F.col("component").alias("_key"), F.col("node").alias("_id"))
     members = attach(nodes, sized, ["_key"], "_n", total, F.col("_id")).withColumn("_centre", F.col("_key"))
-    data = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_data"))
+    # the texts of clusters, few of all, travel once here and are read as often as needed
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_data"))
+    data = scratch.stash(texts.join(clusters.select(F.col("node").alias("_id")), "_id", "left_semi"), "texts")
 
     def alone(frames):
         for f, cuts in _grouped(frames, ["_key"]):
