@@ -273,8 +273,7 @@ _posting_query("posting_conjunction", filters.Conjunction((filters.Terms((1, 2,
 
 @add(WITH + "SELECT qid, doc_id FROM m")
 def posting_batch(spark, sf_dir):
-    trees = {r["qid"]: filters.parse(r["filter"]) for r in queries(spark, sf_dir).select("qid", "filter").collect()}  # a batch of queries
-    return postings_algebra.match_batch(trees, entries(spark, sf_dir), docs(spark, sf_dir)).select(*ids("qid", "doc_id"))
+    return search.match_postings(docs(spark, sf_dir), entries(spark, sf_dir), queries(spark, sf_dir)).select(*ids("qid", "doc_id"))
 
 
 @add(WITH + "SELECT tag, segment_id, hit_count, unit_count FROM p")
@@ -368,8 +367,8 @@ def vector_f16(spark, sf_dir):
 
 @add(WITH + "SELECT qid, doc_id, round(list_inner_product(vec, qvec), 6) AS score FROM d, q")
 def inner_product(spark, sf_dir):
-    q = F.broadcast(queries(spark, sf_dir).select("qid", F.col("vec").alias("qvec")))
-    return docs(spark, sf_dir).join(q, F.lit(True)).select("qid", "doc_id", F.round(vectors.dot(F.col("vec"), F.col("qvec")), 6).alias("score"))
+    pairs = search.match(docs(spark, sf_dir), queries(spark, sf_dir).withColumn("filter", F.lit("")))
+    return pairs.select("qid", "doc_id", F.round(vectors.dot(F.col("vec"), F.col("qvec")), 6).alias("score"))
 
 
 @add(WITH + "SELECT doc_id, round(sqrt(list_inner_product(vec, vec)), 6) AS norm, round(list_min(vec), 6) AS low, round(list_max(vec), 6) AS high FROM d")
@@ -436,10 +435,9 @@ def topk_per_query_k(spark, sf_dir):
     return published(search.topk(docs(spark, sf_dir), q))
 
 
-@add(WITH + "SELECT qid, rk AS rank, doc_id, round(s16, 6) AS score FROM r16 WHERE fid IN (2, 8, 9)")
+@add(WITH + "SELECT qid, rk AS rank, doc_id, round(s16, 6) AS score FROM r16")
 def topk_k_exceeds(spark, sf_dir):
-    q = queries(spark, sf_dir, 1_000_000).filter(fid().isin(2, 8, 9))
-    return published(search.topk(docs(spark, sf_dir), q))
+    return published(search.topk(docs(spark, sf_dir), queries(spark, sf_dir, 1_000_000)))
 
 
 @add(WITH + "SELECT qid, rk AS rank, doc_id, round(s16, 6) AS score FROM r16 WHERE fid IN (6, 7)")

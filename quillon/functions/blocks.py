@@ -54,6 +54,26 @@ def tag_matrix(values: np.ndarray, lengths: np.ndarray, used: np.ndarray) -> np.
     return held
 
 
+def matching_filters(trees: list[Node], at: int):
+    """A function over Arrow batches that adds ``_fids``, the numbers of the flattened filters that column ``at``, the tags, matches."""
+    used = np.array(sorted({t for tree in trees for t in terms(tree)}), np.int64)
+    columns = {int(t): k for k, t in enumerate(used)}
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            tags = b.column(at)
+            lengths = tags.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            held = tag_matrix(tags.flatten().to_numpy(zero_copy_only=False), lengths, used)
+            hits = np.stack([matches(t, held, columns) for t in trees], axis=1) if b.num_rows else np.zeros((0, len(trees)), bool)
+            ends = np.r_[0, np.cumsum(hits.sum(axis=1))].astype(np.int32)
+            fids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.nonzero(hits)[1].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*b.columns, fids], names=[*b.schema.names, "_fids"])
+
+    return run
+
+
 def block_top_k(vectors: list, trees: list[Node], fids: list[int], ks: list[int], qids: list[int], f16: bool):
     """A function over Arrow batches of ``doc_id``, ``vec``, ``tags``; ``trees`` are the flattened filters."""
     used = np.array(sorted({t for tree in trees for t in terms(tree)}), np.int64)

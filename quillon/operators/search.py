@@ -11,13 +11,14 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from ..functions import vectors
-from ..plans import filters
+from ..plans import filters, postings_algebra
 
 #: Queries to a batch; more are searched batch by batch.
 BATCH = 4096
-#: More different filters than this in a batch go through the posting algebra.
+#: More different filters than this in a batch are tested on tag matrices instead of in one predicate.
 MAX_FILTERS = 256
 _LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
@@ -48,8 +49,33 @@ def match(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """Every pair ``qid``, ``doc_id`` (with ``vec``, ``qvec``, ``k``) that the query's filter allows."""
     parts = []
     for part, texts in _batches(queries):
-        q = F.broadcast(part.select("qid", F.col("vec").alias("qvec"), "k", "fid"))
-        parts.append(docs.join(q, filter_predicate(texts, F.col("fid"), F.col("tags"))))
+        q = F.broadcast(part.select("qid", F.col("vec").alias("qvec"), "k", "fid"))  # BATCH rows, about
+        if len(texts) <= MAX_FILTERS:
+            parts.append(docs.join(q, filter_predicate(texts, F.col("fid"), F.col("tags"))))
+        else:
+            parts.append(_matched(docs, texts).join(q, "fid").select(*docs.columns, "qid", "qvec", "k", "fid"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _matched(docs: DataFrame, texts: list[str]) -> DataFrame:
+    """``docs`` with ``fid``, a row for every filter that a document matches; tested a batch of documents at once."""
+    from ..functions.blocks import matching_filters
+    from ..runtime import ship
+
+    ship(docs.sparkSession)
+    at = docs.columns.index("tags")
+    run = matching_filters([filters.flatten(filters.parse(t)) for t in texts], at)
+    rows = docs.withColumn("tags", F.col("tags").cast("array<bigint>"))
+    tested = rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("_fids", ArrayType(IntegerType()))]))
+    return tested.select(*docs.columns, F.explode("_fids").alias("fid"))
+
+
+def match_postings(docs: DataFrame, postings: DataFrame, queries: DataFrame) -> DataFrame:
+    """``qid``, ``doc_id``, ``k`` of the same pairs as :func:`match`, evaluated over postings; ``queries``: ``qid``, ``filter``, ``k``."""
+    parts = []
+    for part, texts in _batches(queries):
+        found = postings_algebra.match_batch({k: filters.parse(t) for k, t in enumerate(texts)}, postings, docs).withColumnRenamed("qid", "fid")
+        parts.append(found.join(F.broadcast(part.select("qid", "k", "fid")), "fid").select("qid", "doc_id", "k"))  # BATCH rows, about
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -117,11 +143,6 @@ def topk_blocks(docs: DataFrame, queries: DataFrame, f16: bool = True) -> DataFr
     return reduce(DataFrame.unionByName, parts)
 
 
-def topk_auto(docs: DataFrame, queries: DataFrame, f16: bool = True, pairs: int = 20_000_000) -> DataFrame:
-    """:func:`topk` for few pairs of documents and queries, :func:`topk_blocks` from ``pairs`` on."""
-    return (topk_blocks if docs.count() * queries.count() >= pairs else topk)(docs, queries, f16)
-
-
 def fold(best: DataFrame, more: DataFrame, max_k: int) -> DataFrame:
     """Merge a shard's results (``qid``, ``k``, ``doc_id``, ``score``) into the best so far."""
     return rank(best.unionByName(more), max_k).drop("rank")

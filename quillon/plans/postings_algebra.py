@@ -1,18 +1,24 @@
 """Filters evaluated over posting lists: relational plans instead of row predicates.
 
 ``match`` composes one tree from filters, unions, counted intersections and
-anti-joins.  ``match_batch`` evaluates a whole batch of trees level by level, with
-one join to the postings for all leaves, however many queries there are.
+anti-joins.  ``match_batch`` evaluates a whole batch of trees segment by segment, over
+document bitmaps, with one shuffle however many and however high the trees are.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .filters import And, Conjunction, MatchAll, Node, Not, Or, OrTerms, Term, Terms, children, flatten, terms
+from ..runtime import ship
+from .filters import And, Conjunction, MatchAll, Node, Not, Or, OrTerms, Term, Terms, flatten, terms, to_postorder
+
+#: Documents to a segment of a batch, at most: neighbouring ids.
+SEGMENT_DOCS = 65_536
 
 
 def match(node: Node, postings: DataFrame, docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -52,46 +58,56 @@ def match(node: Node, postings: DataFrame, docs: DataFrame, id_col: str = "doc_i
 
 
 def match_batch(trees: dict[int, Node], postings: DataFrame, docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``qid`` and the id of every match of every tree."""
-    spark = docs.sparkSession
-    leaves, inner, height = [], [], {}
-    roots = []
-
-    def add(qid: int, n: Node) -> tuple[int, int]:
-        number = len(height)
-        height[number] = 0
-        if isinstance(n, (Term, Terms)):
-            leaves.extend((number, t) for t in dict.fromkeys(terms(n)))
-            return number, 0
-        below = [add(qid, c) for c in children(n)]
-        height[number] = h = 1 + max((x for _, x in below), default=0)
-        kind = "ALL" if isinstance(n, MatchAll) else "NOT" if isinstance(n, Not) else "AND" if isinstance(n, And) else "OR"
-        inner.append((number, kind, h, [c for c, _ in below]))
-        return number, h
-
-    for qid, tree in trees.items():
-        roots.append((qid, add(qid, flatten(tree))[0]))
-    empty = spark.createDataFrame([], f"node long, {id_col} long")
-    found = empty
-    if leaves:
-        wanted = spark.createDataFrame(leaves, "node long, t long")
-        found = postings.join(wanted, F.col("tag") == F.col("t")).select("node", id_col).distinct()
-    universe = docs.select(id_col).distinct()
-    for h in range(1, 1 + max(height.values(), default=0)):
-        level = [x for x in inner if x[2] == h]
-        edges = [(p, c, kind, len(below)) for p, kind, _, below in level for c in below]
-        parts = [found]
-        if edges:
-            e = spark.createDataFrame(edges, "parent long, child long, kind string, n long")
-            held = found.join(e, F.col("node") == F.col("child"))
-            counted = held.filter("kind <> 'NOT'").groupBy("parent", id_col).agg(F.count_distinct("child").alias("k"), F.first("kind").alias("kind"), F.first("n").alias("n"))
-            parts.append(counted.filter("kind = 'OR' or k = n").select(F.col("parent").alias("node"), id_col))
-            negated = e.filter("kind = 'NOT'").select("parent")
-            out = held.filter("kind = 'NOT'").select(F.col("parent").alias("p"), F.col(id_col).alias("d"))
-            parts.append(universe.join(F.broadcast(negated), F.lit(True)).join(out, (F.col("parent") == F.col("p")) & (F.col(id_col) == F.col("d")), "left_anti").select(F.col("parent").alias("node"), id_col))
-        every = [(p,) for p, kind, _, _ in level if kind == "ALL"]
-        if every:
-            parts.append(universe.join(F.broadcast(spark.createDataFrame(every, "node long")), F.lit(True)).select("node", id_col))
-        found = reduce(DataFrame.unionAll, parts)
-    top = spark.createDataFrame(roots, "qid long, node long") if roots else spark.createDataFrame([], "qid long, node long")
-    return found.join(top, "node").select("qid", id_col)
+    """``qid`` and the id of every match of every tree; ids are whole numbers.
+
+    Postings and documents meet once, by segment: a task turns a segment's postings of
+    the batch's tags into document bitmaps and runs the trees' post-order steps over
+    them, so neither the plan nor the shuffle grows with the height of the trees, and a
+    complement never leaves its segment.  Tags of no tree aren't shuffled.
+    """
+    steps = {q: to_postorder(flatten(t)) for q, t in trees.items()}
+    wanted = sorted({t for tree in trees.values() for t in terms(tree)})
+    segment = F.floor(F.col(id_col) / SEGMENT_DOCS).alias("_g")
+    held = postings.filter(F.col("tag").isin(*wanted) if wanted else F.lit(False)).select(segment, F.col("tag").cast("long").alias("tag"), F.col(id_col).cast("long").alias("id"))
+    every = docs.select(segment, F.col(id_col).cast("long").alias("id"))
+
+    def run(entries: pa.Table, universe: pa.Table) -> pa.Table:
+        ids = np.unique(universe.column("id").to_numpy())
+        tag, at = entries.column("tag").to_numpy(), entries.column("id").to_numpy()
+        place = np.minimum(np.searchsorted(ids, at), max(0, len(ids) - 1))
+        known = ids[place] == at if len(ids) else np.zeros(len(at), bool)
+        order = np.argsort(tag[known], kind="stable")
+        tag, place = tag[known][order], place[known][order]
+
+        def bits(t: int) -> np.ndarray:
+            out = np.zeros(len(ids), bool)
+            out[place[np.searchsorted(tag, t) : np.searchsorted(tag, t, "right")]] = True
+            return out
+
+        found = {q: ids[run_bitmaps(s, bits, len(ids))] for q, s in steps.items()}
+        qid = np.repeat(np.fromiter(found, np.int64, len(found)), [len(x) for x in found.values()])
+        return pa.table({"qid": pa.array(qid, pa.int64()), id_col: pa.array(np.concatenate([*found.values(), np.zeros(0, np.int64)]), pa.int64())})
+
+    ship(docs.sparkSession)
+    return held.groupBy("_g").cogroup(every.groupBy("_g")).applyInArrow(run, f"qid long, {id_col} long")
+
+
+def run_bitmaps(steps: list[tuple], bits, n: int) -> np.ndarray:
+    """The document bitmap that post-order steps give; ``bits(tag)`` is a tag's bitmap of ``n`` documents."""
+    leaves: list[np.ndarray] = []
+    stack: list[np.ndarray] = []
+    union = lambda parts: np.logical_or.reduce([np.zeros(n, bool), *parts])
+    for op, *counts in steps:
+        if op == "POST":
+            leaves.append(union([bits(t) for t in counts[0]]))
+        elif op == "CONJUNCTION":
+            own = leaves[len(leaves) - sum(counts) :]
+            del leaves[len(leaves) - sum(counts) :]
+            ends = np.cumsum(counts)
+            stack.append(np.logical_and.reduce([union(own[e - c : e]) for e, c in zip(ends, counts, strict=True)]))
+        else:
+            a, b = counts
+            own = leaves[len(leaves) - a :] + stack[len(stack) - b :]
+            del leaves[len(leaves) - a :], stack[len(stack) - b :]
+            stack.append(~own[0] if op == "NOT" else np.logical_and.reduce(own) if op == "AND" else union(own))
+    return stack[0] if stack else leaves[0] if leaves else np.ones(n, bool)
