@@ -82,9 +82,10 @@ def posting_docs(docs: DataFrame) -> DataFrame:
 
 def build_postings(entries: DataFrame) -> DataFrame:
     """``tag``, ``segment_id``, ``hit_count``, ``unit_count`` (16-document units with a hit)."""
-    return entries.groupBy("tag", "segment_id").agg(
-        F.count_distinct("local_id").alias("hit_count"), F.count_distinct(F.floor(F.col("local_id") / UNIT_DOCS)).alias("unit_count")
-    )
+    # dealt once by posting, which a segment's size bounds; repeated entries and units are then summed up in place
+    dealt = entries.select("tag", "segment_id", "local_id").repartition("tag", "segment_id").distinct()
+    units = dealt.groupBy("tag", "segment_id", F.floor(F.col("local_id") / UNIT_DOCS).alias("_u")).agg(F.count(F.lit(1)).alias("_h"))
+    return units.groupBy("tag", "segment_id").agg(F.sum("_h").alias("hit_count"), F.count(F.lit(1)).alias("unit_count"))
 
 
 def layout(hits: Column, segment_docs: int, threshold: float, matrix: bool = False, packed: bool = True) -> Column:
@@ -141,8 +142,9 @@ def write_index(docs: DataFrame, folder: str, segment_docs: int, threshold: floa
     """Vectors, id map and postings as Parquet below ``folder``, by segment."""
     placed = with_segments(docs, segment_docs)
     entries = posting_docs(placed)
-    placed.select("segment_id", "local_id", "doc_id", "vec", "tags").write.partitionBy("segment_id").parquet(f"{folder}/documents")
-    entries.write.partitionBy("segment_id").parquet(f"{folder}/posting_docs")
+    # a file for each segment, not for each segment and task
+    placed.select("segment_id", "local_id", "doc_id", "vec", "tags").repartition("segment_id").write.partitionBy("segment_id").parquet(f"{folder}/documents")
+    entries.repartition("segment_id").write.partitionBy("segment_id").parquet(f"{folder}/posting_docs")
     with_layout(build_postings(entries), segment_docs, threshold).write.parquet(f"{folder}/postings")
 
 

@@ -10,20 +10,33 @@ from .corpus import HEADER, PACKED_UNIT
 
 #: Lower bounds of the frequency bands, as shares of the documents.
 BANDS = [("always", 0.999), ("universal", 0.90), ("common", 0.05), ("low", 0.01), ("rare", 0.0)]
+#: Ranges into which a group's values are cut for order statistics.
+RANGES = 64
 
 
 def order_percentiles(df: DataFrame, value: str, shares: dict[str, float], by: list[str] | None = None) -> DataFrame:
     """Order statistics: the value at place ``min(n - 1, int(p * n))`` of the sorted values, for each name in ``shares``.
 
-    Only positions are sorted for; no group is collected.
+    Equal values are counted first.  A sketch of each group cuts its values into ranges;
+    the ranges' counts tell in which one a place lies, and only those ranges are sorted,
+    so no task reads a whole group.  The result is exact whatever the sketch's error.
     """
     by = by or []
-    v = df.filter(F.col(value).isNotNull())
-    w = Window.partitionBy(*by).orderBy(value)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*by))
-    placed = v.select(*by, F.col(value), (F.row_number().over(w) - 1).alias("_at"), n.alias("_n"))
-    at = {name: F.least(F.col("_n") - 1, F.floor(F.lit(p) * F.col("_n"))) for name, p in shares.items()}
-    return placed.groupBy(*by).agg(*[F.max(F.when(F.col("_at") == a, F.col(value))).alias(name) for name, a in at.items()])
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    steps = F.array(*[F.lit(k / RANGES) for k in range(1, RANGES)])
+    marks = df.filter(F.col(value).isNotNull()).groupBy(*by).agg(F.percentile_approx(value, steps, F.lit(RANGES * 10)).alias("_marks"))
+    join = lambda a, b, keys: a.join(b, keys) if keys else a.crossJoin(b)  # noqa: E731  (without groups b has one row)
+    ranged = join(counts, marks, by).withColumn("_range", F.size(F.filter("_marks", lambda m: m < F.col("_v")))).drop("_marks")
+    sizes = ranged.groupBy(*by, "_range").agg(F.sum("_c").alias("_s"))  # a group has RANGES rows at most
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*by, "_range", "_s", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"), F.sum("_s").over(Window.partitionBy(*by)).alias("_n"))
+    places = F.array(*[F.struct(F.lit(name).alias("name"), F.least(F.col("_n") - 1, F.floor(F.lit(p) * F.col("_n"))).alias("at")) for name, p in shares.items()])
+    asked = sizes.withColumn("_p", F.explode(places)).filter((F.col("_p.at") >= F.col("_before")) & (F.col("_p.at") < F.col("_before") + F.col("_s")))
+    asked = asked.select(*by, "_range", F.col("_p.name").alias("_name"), (F.col("_p.at") - F.col("_before")).alias("_at"))
+    run = F.sum("_c").over(Window.partitionBy(*by, "_range", "_name").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    placed = ranged.join(asked, [*by, "_range"]).withColumn("_run", run)
+    hit = placed.filter((F.col("_run") > F.col("_at")) & (F.col("_run") - F.col("_c") <= F.col("_at")))
+    return hit.groupBy(*by).agg(*[F.max(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in shares])
 
 
 def tag_frequencies(entries: DataFrame, tag_num: int) -> DataFrame:
@@ -36,11 +49,10 @@ def tag_frequencies(entries: DataFrame, tag_num: int) -> DataFrame:
 def conversion_summary(freq: DataFrame, docs: int, segment_docs: int) -> DataFrame:
     zero = F.col("doc_freq") == 0
     # the list is part of the report: the first 32 tags that don't occur
-    first = F.array_join(F.transform(F.slice(F.sort_array(F.collect_list(F.when(zero, F.col("tag")))), 1, 32), lambda t: t.cast("string")), ",")
-    return freq.agg(
-        F.count(F.when(~zero, 1)).alias("distinct_tags"), F.count(F.when(zero, 1)).alias("zero_tags"), first.alias("first_zero_tags"),
-        F.sum("doc_freq").alias("assignments"), F.lit(-(-docs // segment_docs)).cast("long").alias("segments"),
-    )
+    unused = freq.filter(zero).select("tag").orderBy("tag").limit(32)
+    first = unused.agg(F.array_join(F.transform(F.sort_array(F.collect_list("tag")), lambda t: t.cast("string")), ",").alias("first_zero_tags"))
+    counts = freq.agg(F.count(F.when(~zero, 1)).alias("distinct_tags"), F.count(F.when(zero, 1)).alias("zero_tags"), F.sum("doc_freq").alias("assignments"), F.lit(-(-docs // segment_docs)).cast("long").alias("segments"))
+    return counts.crossJoin(first).select("distinct_tags", "zero_tags", "first_zero_tags", "assignments", "segments")  # a row each
 
 
 def bands(freq: DataFrame, docs: int) -> DataFrame:
