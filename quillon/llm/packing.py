@@ -230,7 +230,9 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Data
         groups = max(1, -(-rest.count() // group))
         # the table is written, so a row's place stays the same if a task runs again
         dealt = rest.withColumn("_g", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
-        packed = dealt.groupBy("_g").applyInPandas(pack_group, schema)
+        # the rows are slim but the search isn't: a task for each group, about, which the session wouldn't give by size
+        tasks = min(groups, 4 * scratch.partitions(parts.sparkSession))
+        packed = dealt.repartition(tasks, "_g").groupBy("_g").applyInPandas(pack_group, schema)
         # unique over bins, groups and levels
         number = ((F.col("_bin") * groups + F.col("_g")) * LEVELS + level).alias("sequence_id")
         if groups == 1 or level == LEVELS - 1:
