@@ -79,7 +79,9 @@ def entity(kind: int, value: str) -> str:
 
 def terms_of(text: Column) -> Column:
     """The different terms of a text, in lower case: what :func:`masked_terms` yields for a text without spans."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
+    # put into lower case together, with blanks between them, on which no letter's case depends
+    found = F.lower(F.array_join(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), " "))
+    return F.array_remove(F.array_distinct(F.split(found, " ")), "")
 
 
 def masked_terms(text: str, spans: list[tuple[int, int, int]]):
@@ -131,6 +133,8 @@ def disclosing_terms(holders: DataFrame, docs: DataFrame, rows: int, share: floa
     joint = scratch.stash(joint, "joint")
     # in how many rows a term occurs: counted over the whole corpus, summed before the shuffle
     words = docs.select(F.explode(terms_of(F.col(text_col))).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("nt"))
+    # an inner join stays above the count, with the few rated terms on its other side; a semi join would be pushed below it and shuffle every word
+    words = joint.select("t").distinct().join(words, "t")
     # a term that only one of the two character tables takes for letters counts as often as it meets the entity
     known = joint.join(words, "t", "left")
     nt = F.greatest(F.coalesce("nt", "nj"), "nj")
