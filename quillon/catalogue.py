@@ -718,6 +718,42 @@ def tag_resolution(spark, sf_dir):
     return tag_resolve(spark, sf_dir).agg(F.count(F.lit(1)).alias("refs"), F.count("tag_id").alias("resolved"), F.round(F.count("tag_id") / F.count(F.lit(1)), 6).alias("rate"))
 
 
+_BY_FILTER = "(SELECT vec_id AS qid, vec_id // 20 % 10 AS fid FROM embeddings WHERE vec_id % 20 = 0)"
+
+
+@add(f"WITH x AS (SELECT estimate FROM {_BY_FILTER} q JOIN ({ORACLES['filter_selectivity_est']}) USING (fid)), o AS (SELECT *, row_number() OVER (ORDER BY estimate) - 1 AS at_, count(*) OVER () AS n_ FROM x) SELECT count(*) AS queries, round(avg(estimate), 6) AS mean, max(estimate) AS high, count(*) FILTER (estimate >= 0.9) AS over_90, {_percentile_sql('estimate', 0.5)} AS p50, {_percentile_sql('estimate', 0.9)} AS p90 FROM o")
+def filter_selectivity_dist(spark, sf_dir):
+    est = filter_selectivity_est(spark, sf_dir)  # a row for each of the ten filters
+    x = queries(spark, sf_dir).select(fid().alias("fid")).join(F.broadcast(est), "fid").select("estimate")
+    basic = x.agg(F.count(F.lit(1)).alias("queries"), F.round(F.avg("estimate"), 6).alias("mean"), F.max("estimate").alias("high"), F.count(F.when(F.col("estimate") >= 0.9, 1)).alias("over_90"))
+    return basic.crossJoin(stats.order_percentiles(x, "estimate", {"p50": 0.5, "p90": 0.9}))
+
+
+@add(WITH + f", t AS ({ORACLES['filter_terms']}), x AS (SELECT t.tag, coalesce(f.doc_freq, 0) AS n, (SELECT count(*) FROM d) AS docs FROM q JOIN t ON t.qid = q.fid LEFT JOIN f ON f.tag = t.tag) SELECT count(*) AS refs, count(*) FILTER (n > 0) AS resolved, round(count(*) FILTER (n > 0) / count(*), 6) AS rate, count(DISTINCT tag) AS tags, count(*) FILTER (n / docs >= 0.05) AS common, round(count(*) FILTER (n / docs >= 0.05) / count(*), 6) AS common_rate FROM x")
+def tag_reference_freq(spark, sf_dir):
+    terms = quality.term_rows(spark, dict(enumerate(FILTERS))).withColumnRenamed("qid", "fid")
+    asked = queries(spark, sf_dir).select(fid().alias("fid")).join(F.broadcast(terms), "fid")  # the tags of the ten filters
+    s = stats.reference_frequencies(asked, frequencies(spark, sf_dir), docs(spark, sf_dir).count())
+    return s.select("refs", "resolved", F.round("rate", 6).alias("rate"), "tags", "common", F.round("common_rate", 6).alias("common_rate"))
+
+
+_AST = ["MATCH_ALL", "TAG(3)", "(TAG(3) AND TAG(12))", "(TAG(3) OR TAG(25) OR TAG(41))", "NOT(TAG(3))", "((TAG(1) OR TAG(2)) AND NOT((TAG(13) OR TAG(44))))", "TAG(999)", "(TAG(3) AND NOT(TAG(3)))", "(TAG(100) OR (TAG(25) AND TAG(11)))", "(TAG(101) AND TAG(100))"]
+_STEPS = ["MATCH_ALL", "{3}", "{3} {12} AND(2,0)", "{3,25,41}", "{3} NOT(1,0)", "{13,44} NOT(1,0) {1,2} AND(1,1)", "{999}", "{3} NOT(1,0) {3} AND(1,1)", "{25} {11} AND(2,0) {100} OR(1,1)", "{101} {100} AND(2,0)"]
+
+
+@add(WITH + f", t AS (SELECT DISTINCT qid AS fid, tag FROM ({ORACLES['filter_terms']})), c AS (SELECT fid, count(*) AS terms, count(*) FILTER (EXISTS (SELECT 1 FROM e WHERE e.tag = t.tag)) AS present FROM t GROUP BY fid) SELECT q.qid, v.ast, v.postorder, coalesce(terms, 0) AS terms, coalesce(present, 0) AS present, coalesce(terms - present, 0) AS missing, CASE WHEN present < terms THEN 'missing_postings_match_converter_absence_or_index_subset' ELSE 'no_missing_postings' END AS diagnosis FROM q LEFT JOIN c USING (fid) JOIN (VALUES " + ", ".join(f"({k}, '{a}', '{p}')" for k, (a, p) in enumerate(zip(_AST, _STEPS, strict=True))) + ") AS v(fid, ast, postorder) USING (fid)")
+def filter_report(spark, sf_dir):
+    out = quality.report(queries(spark, sf_dir), entries(spark, sf_dir), frequencies(spark, sf_dir))
+    return out.select(*ids("qid"), "ast", "postorder", *ids("terms", "present", "missing"), "diagnosis")
+
+
+@add("WITH t AS (SELECT DISTINCT CASE doc_id % 3 WHEN 0 THEN source ELSE source || '#' || lang END AS term, doc_id % 40 AS tag_id FROM documents) SELECT 'malformed_term' AS problem, count(*) FILTER (NOT contains(term, '#')) AS n FROM t UNION ALL SELECT 'repeated_id', count(*) - count(DISTINCT tag_id) FROM t")
+def dictionary_problems(spark, sf_dir):
+    i = F.col("doc_id")
+    term = F.when(i % 3 == 0, F.col("source")).otherwise(F.concat("source", F.lit("#"), "lang"))
+    return stats.dictionary_problems(_read(spark, sf_dir, "documents").select(term.alias("term"), (i % 40).alias("tag_id")).distinct())
+
+
 _TREE = {"and": [{"terms": {"label": [1, 2], "week": [0]}}, {"not": {"term": {"kind": "rare"}}}, {"or": [{"term": {"label": 1}}]}]}
 
 

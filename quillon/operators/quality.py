@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,6 +70,28 @@ def diagnose(terms: DataFrame, postings: DataFrame, frequencies: DataFrame) -> D
     return out.withColumn("diagnosis", said)
 
 
+def steps_text(steps: list[tuple]) -> str:
+    """Post-order steps as text: the tags of a posting in braces, operators with their posting and stacked operands."""
+    return " ".join("{" + ",".join(map(str, n[0])) + "}" if op == "POST" else f"{op}({','.join(map(str, n))})" for op, *n in steps) or "MATCH_ALL"
+
+
+def report(queries: DataFrame, postings: DataFrame, frequencies: DataFrame) -> DataFrame:
+    """The effective filters: ``qid``, ``ast``, ``postorder``, and what :func:`diagnose` says of their terms.
+
+    ``queries``: ``qid``, ``filter``.  Each different filter is compiled and diagnosed
+    once, batch by batch.  A filter without terms has none missing.
+    """
+    parts = []
+    for part, texts in search._batches(queries):
+        trees = [filters.parse(t) for t in texts]
+        rows = [(k, filters.to_text(t), steps_text(filters.to_postorder(filters.flatten(t)))) for k, t in enumerate(trees)]
+        said = diagnose(term_rows(queries.sparkSession, dict(enumerate(texts))), postings, frequencies).withColumnRenamed("qid", "fid")
+        known = queries.sparkSession.createDataFrame(rows, "fid long, ast string, postorder string").join(said, "fid", "left")
+        parts.append(part.select("qid", F.col("fid").cast("long").alias("fid")).join(F.broadcast(known), "fid").drop("fid"))  # a row for each filter of a batch
+    out = reduce(DataFrame.unionByName, parts)
+    return out.fillna(0, ["terms", "present", "missing", "lost", "unexpected"]).fillna("no_missing_postings", ["diagnosis"])
+
+
 def conversions(terms: DataFrame, postings: DataFrame) -> DataFrame:
     """``qid``, ``postings`` its filter touches, those ``converted`` from units to bitmaps, and their ``units``."""
     sparse = F.col("layout") != "dense_bitmap"

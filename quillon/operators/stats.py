@@ -100,6 +100,27 @@ def vector_stats(docs: DataFrame) -> DataFrame:
     )
 
 
+def dictionary_problems(tags: DataFrame) -> DataFrame:
+    """``problem``, ``n`` of a dictionary of ``term``, ``tag_id``: terms without ``#``, and entries whose id another one has already."""
+    malformed = tags.filter(F.coalesce(~F.col("term").contains("#"), F.lit(True))).agg(F.count(F.lit(1)).alias("n")).select(F.lit("malformed_term").alias("problem"), "n")
+    several = tags.groupBy("tag_id").agg(F.count(F.lit(1)).alias("_n")).agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("n"))
+    return malformed.unionAll(several.select(F.lit("repeated_id").alias("problem"), "n"))
+
+
+def reference_frequencies(references: DataFrame, freq: DataFrame, docs: int, common: float = 0.05) -> DataFrame:
+    """How the tags that filters refer to occur: ``references`` has ``tag``, a row for each reference.
+
+    ``refs``, ``resolved`` (of tags that occur), ``rate``, ``tags`` (different ones),
+    ``common`` (references to tags of at least that share of the documents) and
+    ``common_rate``.
+    """
+    per = references.groupBy("tag").agg(F.count(F.lit(1)).alias("_r")).join(freq, "tag", "left")
+    used = F.coalesce("doc_freq", F.lit(0))
+    refs, often = F.sum("_r"), F.coalesce(F.sum(F.when(used / docs >= common, F.col("_r"))), F.lit(0))
+    resolved = F.coalesce(F.sum(F.when(used > 0, F.col("_r"))), F.lit(0))
+    return per.agg(refs.alias("refs"), resolved.alias("resolved"), (resolved / refs).alias("rate"), F.count(F.lit(1)).alias("tags"), often.alias("common"), (often / refs).alias("common_rate"))
+
+
 def posting_summary(postings: DataFrame, segment_docs: int) -> DataFrame:
     """Counts of layouts, units of sparse postings, bytes against an index of dense bitmaps."""
     sparse = F.col("layout") != "dense_bitmap"
