@@ -293,6 +293,25 @@ def posting_bytes(spark, sf_dir):
     return p.select(*ids("tag", "segment_id"), F.col("bytes").alias("packed_bytes"), size("sparse_bitmap").alias("sparse_bytes"), size("id_list").alias("id_bytes"), size("byte_map").alias("map_bytes"))
 
 
+_LAYOUTS = ["dense_bitmap", "sparse_bitmap", "byte_map", "id_list", "packed"]
+
+
+def _encoded(spark, sf_dir) -> DataFrame:
+    """Every posting once, in the five layouts by turns."""
+    kind = F.element_at(F.array(*map(F.lit, _LAYOUTS)), ((F.col("tag") + F.col("segment_id")) % 5 + 1).cast("int"))
+    return corpus.encoded_postings(entries(spark, sf_dir), SEGMENT, kind)
+
+
+@add(WITH + f", k AS (SELECT *, ['dense_bitmap', 'sparse_bitmap', 'byte_map', 'id_list', 'packed'][(tag + segment_id) % 5 + 1] AS kind FROM p0) SELECT tag, segment_id, kind AS layout, CAST(CASE kind WHEN 'dense_bitmap' THEN {8 + 2 * SEGMENT // 16} WHEN 'byte_map' THEN {8 + SEGMENT} WHEN 'id_list' THEN 8 + 4 * hit_count WHEN 'packed' THEN 8 + 4 * unit_count ELSE 8 + 6 * unit_count + (8 + 6 * unit_count) % 4 END AS BIGINT) AS bytes FROM k")
+def posting_encode(spark, sf_dir):
+    return _encoded(spark, sf_dir).select("tag", "segment_id", "layout", F.length("posting").cast("long").alias("bytes"))
+
+
+@add(WITH + "SELECT DISTINCT tag, segment_id, local_id FROM e")
+def posting_decode(spark, sf_dir):
+    return corpus.decoded_postings(_encoded(spark, sf_dir)).select("tag", "segment_id", "local_id")
+
+
 @add(WITH + "SELECT tag, segment_id, weight FROM p")
 def posting_weight(spark, sf_dir):
     return postings(spark, sf_dir).select(*ids("tag", "segment_id", "weight"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bitmaps, vectors
+from ..runtime import ship
 
 #: Fixed values of the posting layouts: documents to a unit, header bytes, bytes of a unit.
 UNIT_DOCS, HEADER, SPARSE_UNIT, PACKED_UNIT, ID_BYTES = 16, 8, 6, 4, 4
@@ -132,6 +133,40 @@ def unit_runs(entries: DataFrame) -> DataFrame:
     return units.withColumn("_i", island).groupBy("tag", "segment_id", "_i").agg(F.min("unit").alias("run_start"), F.count(F.lit(1)).alias("run_length")).drop("_i")
 
 
+def encoded_postings(entries: DataFrame, segment_docs: int, layout: Column) -> DataFrame:
+    """``tag``, ``segment_id``, ``layout``, ``posting``: each posting's bytes; ``layout`` may use ``hit_count``. A posting's ids are bounded by its segment."""
+    from ..functions.posting_codec import encode
+
+    held = entries.groupBy("tag", "segment_id").agg(F.collect_set(F.col("local_id").cast("int")).alias("_at")).withColumn("hit_count", F.size("_at"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            made = [encode(at, segment_docs, kind) for at, kind in zip(b.column("_at").to_pylist(), b.column("layout").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(made, pa.binary())], names=["tag", "segment_id", "layout", "posting"])
+
+    ship(entries.sparkSession)
+    return held.select(F.col("tag").cast("long").alias("tag"), F.col("segment_id").cast("long").alias("segment_id"), layout.alias("layout"), "_at").mapInArrow(run, "tag long, segment_id long, layout string, posting binary")
+
+
+def decoded_postings(encoded: DataFrame) -> DataFrame:
+    """``tag``, ``segment_id``, ``layout``, ``local_id``: the entries of encoded postings."""
+    from ..functions.posting_codec import decode
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            found = [decode(p)[1] for p in b.column("posting").to_pylist()]
+            row = pa.array([k for k, at in enumerate(found) for _ in at], pa.int64())
+            ids = pa.array([int(x) for at in found for x in at], pa.int64())
+            yield pa.RecordBatch.from_arrays([*[b.column(c).take(row) for c in ("tag", "segment_id", "layout")], ids], names=["tag", "segment_id", "layout", "local_id"])
+
+    ship(encoded.sparkSession)
+    return encoded.select("tag", "segment_id", "layout", "posting").mapInArrow(run, "tag long, segment_id long, layout string, local_id long")
+
+
 def token_exists(tokens: DataFrame, entries: DataFrame) -> DataFrame:
     """``tokens`` (with ``tag``) and whether a posting exists for them."""
     known = entries.select(F.col("tag").alias("_t")).distinct()

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.functions import bitmaps, vectors
+from quillon.functions import bitmaps, posting_codec, vectors
 from quillon.operators import corpus, quality, search
 from quillon.plans import filters
 from quillon.streaming import ingest
@@ -122,3 +122,26 @@ def test_sql_functions(spark):
     r = spark.sql("SELECT dot_f64(array(1D, 2D), array(3D, 4D)) AS d, f16(1.0004D) AS h, tag_match(array(1L, 2L), array(1L), array(3L)) AS m, tag_match(NULL, array(1L), array(3L)) AS n").collect()[0]
     assert (r.d, r.h, r.m, r.n) == (11.0, half(1.0004), True, False)
     assert struct.calcsize("<e") == 2
+
+
+@pytest.mark.parametrize("layout", list(posting_codec.CODES))
+def test_posting_round_trip(layout):
+    r = np.random.default_rng(5)
+    for docs, hits in ((16, 0), (16, 16), (100, 7), (4096, 1), (4096, 300), (70_000, 20)):
+        at = np.sort(r.choice(docs, hits, replace=False))
+        raw = posting_codec.encode(r.permutation(np.r_[at, at[:3]]), docs, layout)
+        kind, back = posting_codec.decode(raw)
+        assert kind == layout and back.tolist() == at.tolist() and len(raw) % 4 == 0
+        for bad in (raw[:-1], raw[:4], bytes([raw[0] ^ 1]) + raw[1:], raw[:3] + bytes([raw[3] | 0xF0]) + raw[4:]):
+            with pytest.raises(ValueError):
+                posting_codec.decode(bad)
+    with pytest.raises(ValueError):
+        posting_codec.encode([16], 16, layout)
+
+
+def test_posting_bytes_by_hand():
+    assert posting_codec.encode([0, 17], 32, "dense_bitmap").hex() == "02000000" + "04000000" + "0100" + "0200"
+    assert posting_codec.encode([0, 17], 32, "sparse_bitmap").hex() == "02000010" + "0c000000" + "00000000" + "02000000" + "0100" + "0200"
+    assert posting_codec.encode([0, 17], 32, "packed").hex() == "02000040" + "08000000" + "01000000" + "02000100"
+    assert posting_codec.encode([1, 2], 4, "byte_map").hex() == "02000020" + "04000000" + "00010100"
+    assert posting_codec.encode([9, 3], 16, "id_list").hex() == "02000030" + "08000000" + "03000000" + "09000000"
