@@ -173,6 +173,59 @@ def query_extract(spark, sf_dir):
     return text.checked_records(rows, 2).select(*ids("line", "k", "dim"), "ok")
 
 
+def _scratch(spark, name: str) -> str:
+    from .runtime import shared_dir
+
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:8]}"
+
+
+def _stored_records(spark, sf_dir) -> DataFrame:
+    """A JSON record for every query, written as lines and read back; every seventh asks for no results."""
+    from .sources import text
+
+    i = F.col("vec_id")
+    part = lambda s: F.to_json(s)
+    tree = F.when(i % 40 == 0, F.format_string('{"term": {"label": %d}}', F.col("label").cast("long"))).otherwise(F.format_string('{"and": [{"term": {"label": %d}}, {"not": {"terms": {"week": [%d, %d], "join_type": "or"}}}]}', F.col("label").cast("long"), i % 7, (i + 1) % 7))
+    inner = F.concat(F.lit('{"vector": {"relevance_learning2rank": '), part(F.slice("embedding", 1, 4)), F.lit(', "syntax_filter": '), tree, F.lit("}}"))
+    record = part(F.struct((i / EVERY % 7).cast("long").alias("result_num"), F.struct(inner.alias("json_query")).alias("main_tier")))
+    path = _scratch(spark, "records")
+    text.write_lines(_read(spark, sf_dir, "embeddings").filter(i % EVERY == 0).select(i, record.alias("record")), path)
+    return text.read_query_records(spark, path)
+
+
+#: Labels up to 2 and the weeks are in the dictionary.
+_STORED = "WITH r AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS line, vec_id AS i, label, vec_id // 20 % 7 AS k FROM embeddings WHERE vec_id % 20 = 0), x AS (SELECT *, CASE WHEN label > 2 THEN '0 AND (NOT 0)' WHEN i % 40 = 0 THEN CAST(label AS VARCHAR) ELSE '(' || label || ' AND NOT ((' || (10 + i % 7) || ' OR ' || (10 + (i + 1) % 7) || ')))' END AS filter FROM r) "
+
+
+def _stored_queries(spark, sf_dir) -> DataFrame:
+    from .sources import text
+
+    return text.extract_queries(_stored_records(spark, sf_dir), {f"label#{t}": t for t in range(3)} | {f"week#{w}": 10 + w for w in range(7)}, 4)
+
+
+@add(_STORED + "SELECT line, CASE WHEN k > 0 THEN filter END AS filter, CASE WHEN k > 0 THEN k END AS k, k > 0 AS ok FROM x")
+def query_records(spark, sf_dir):
+    return _stored_queries(spark, sf_dir).select("line", "filter", "k", F.col("problem").isNull().alias("ok"))
+
+
+@add(_STORED + ", y AS (SELECT row_number() OVER (ORDER BY line) - 1 AS qid, filter, k FROM x WHERE k > 0) SELECT * FROM y")
+def query_files(spark, sf_dir):
+    """The stored queries, converted, written as query files, and those read back."""
+    from .sources import text
+
+    path = _scratch(spark, "queries")
+    text.write_queries(_stored_queries(spark, sf_dir), path, {"source": "embeddings"})
+    lines = text.read_filters(spark, f"{path}/filters").select(F.col("fid").alias("qid"), F.col("expr").alias("filter"))
+    return lines.join(text.read_topk(spark, f"{path}/topk", lines.count()), "qid").select("qid", "filter", F.col("k").cast("long").alias("k"))
+
+
+@add(_STORED + ", n AS (SELECT count(*) AS n, count(*) FILTER (i % 40 <> 0) AS deep FROM r) SELECT counter, name, sum(n) AS n FROM (SELECT unnest([{'counter': 'depth', 'name': '', 'n': 2 * deep}, {'counter': 'refs', 'name': '', 'n': n + 2 * deep}, {'counter': 'kinds', 'name': 'term', 'n': n}, {'counter': 'kinds', 'name': 'and', 'n': deep}, {'counter': 'kinds', 'name': 'not', 'n': deep}, {'counter': 'kinds', 'name': 'terms', 'n': deep}, {'counter': 'joins', 'name': 'and', 'n': deep}, {'counter': 'joins', 'name': 'or', 'n': deep}, {'counter': 'sections', 'name': 'label', 'n': n}, {'counter': 'sections', 'name': 'week', 'n': 2 * deep}], recursive := true) FROM n) GROUP BY counter, name")
+def tree_counters(spark, sf_dir):
+    from .sources import text
+
+    return text.tree_counters(_stored_records(spark, sf_dir)).groupBy("counter", "name").agg(F.sum("n").alias("n"))
+
+
 # --- filters ---
 
 
@@ -835,6 +888,16 @@ def ab_compare(spark, sf_dir):
     return s.select("arm", *[F.round(c, 6).alias(c) for c in ("median", "change", "spread")])
 
 
+@add(_SHARD + "SELECT idx, round(sh[1], 3) AS shard0_ms, round(sh[2], 3) AS shard1_ms, round(sh[3], 3) AS shard2_ms, round(worst, 3) AS max_shard_ms, round(merge, 3) AS merge_ms, round(total, 3) AS total_ms FROM w")
+def shard_latency_file(spark, sf_dir):
+    from .sources import text
+
+    path = _scratch(spark, "shards")
+    text.write_shard_latencies(_shard_rows(spark, sf_dir), path, 3)
+    rows = spark.read.csv(path, sep="\t", header=True, schema="idx long, shard0_ms double, shard1_ms double, shard2_ms double, max_shard_ms double, merge_ms double, total_ms double")
+    return rows.select("idx", *[F.round(c, 3).alias(c) for c in rows.columns[1:]])
+
+
 # --- index tuning ---
 
 _CURVE = WITH + f", h AS (SELECT hit_count AS hits, count(*) AS n FROM p GROUP BY 1), c AS (SELECT hits, CAST(sum(n) OVER (ORDER BY hits) AS BIGINT) AS compressed, sum(n * ({SEGMENT / 8}E0 - (8 + 4 * hits))) OVER (ORDER BY hits) AS saved FROM h), z AS (SELECT c.*, (SELECT count(*) FROM p) * {SEGMENT / 8}E0 - saved AS bytes FROM c) "
@@ -894,3 +957,14 @@ def synthetic_banded(spark, sf_dir):
 def synthetic_queries(spark, sf_dir):
     freq = stats.tag_frequencies(corpus.posting_docs(synthetic.banded_corpus(spark, 2000, 8)), 1000)
     return synthetic.queries(spark, 20, 8, freq, 2000).select("qid", "filter", "k")
+
+
+@add()
+def synthetic_grouped_queries(spark, sf_dir):
+    return synthetic.grouped_queries(spark, 20, 8, 1000).select("qid", "filter", "k")
+
+
+@add()
+def synthetic_section_queries(spark, sf_dir):
+    sections = {"a": (0, 200), "b": (200, 200), "c": (400, 50), "d": (450, 10), "e": (460, 1)}
+    return synthetic.section_queries(spark, 20, 8, sections, ["a", "c"], ["d", "e"], {"a": "b"}).select("qid", "filter", "k")

@@ -120,7 +120,74 @@ def write_tsv(df: DataFrame, path: str, order: list[Column | str] | None = None)
     (df.orderBy(*order) if order else df).write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
 
 
+def write_latencies(rows: DataFrame, path: str) -> None:
+    """Per-query latencies: ``idx``, ``ms``, ``topk``, by ``idx``."""
+    write_tsv(rows.select("idx", _ms("ms"), "topk"), path, ["idx"])
+
+
+def write_shard_latencies(rows: DataFrame, path: str, shards: int) -> None:
+    """Latencies of each shard: ``idx``, ``shard0_ms`` and so on, ``max_shard_ms``, ``merge_ms``, ``total_ms``, by ``idx``.
+
+    ``rows``: ``idx``, ``shard_ms`` (an array), ``merge_ms``, ``total_ms``.  With one shard nothing is written.
+    """
+    if shards <= 1:
+        return
+    each = [_ms(F.col("shard_ms")[s], f"shard{s}_ms") for s in range(shards)]
+    write_tsv(rows.select("idx", *each, _ms(F.array_max("shard_ms"), "max_shard_ms"), _ms("merge_ms"), _ms("total_ms")), path, ["idx"])
+
+
+def _ms(value: Column | str, name: str | None = None) -> Column:
+    return F.format_string("%.4f", value).alias(name or value)
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """The second column as one text file, by the first; a query file, not a corpus."""
+    at, value = lines.columns
+    lines.repartition(1).sortWithinPartitions(at).select(value).write.mode("overwrite").text(path)
+
+
 def write_queries(queries: DataFrame, path: str, manifest: dict) -> None:
-    """Queries as Parquet, the manifest as JSON beside them."""
-    queries.write.mode("overwrite").parquet(f"{path}/queries")
-    queries.sparkSession.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+    """The results of :func:`extract_queries` below ``path``.
+
+    ``queries`` (Parquet), ``filters`` and ``topk`` (lines), ``manifest`` (JSON, with
+    counts, dimension and range of k) of the good ones; ``skipped_warnings`` (lines) if
+    there are others.  ValueError if none is good.
+    """
+    spark = queries.sparkSession
+    rows = queries if "problem" in queries.columns else queries.withColumn("problem", F.lit(None).cast("string"))
+    good = rows.filter("problem is null").drop("problem")
+    good.write.mode("overwrite").parquet(f"{path}/queries")
+    good = spark.read.parquet(f"{path}/queries")
+    n, dim, low, high = good.agg(F.count(F.lit(1)), F.max(F.size("vec")), F.min("k"), F.max("k")).collect()[0]
+    skipped = rows.filter("problem is not null").select("line", F.format_string("line %d: %s", "line", "problem").alias("problem"))
+    bad = skipped.count()
+    if not n:
+        raise ValueError(f"no valid queries, {bad} skipped")
+    write_lines(good.select("line", "filter"), f"{path}/filters")
+    write_lines(good.select("line", F.col("k").cast("string")), f"{path}/topk")
+    if bad:
+        write_lines(skipped, f"{path}/skipped_warnings")
+    whole = manifest | {"query_count": n, "vector_dim": dim, "skipped_query_count": bad, "topk_min": low, "topk_max": high}
+    spark.createDataFrame([(json.dumps(whole, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+
+
+def tree_counters(records: DataFrame) -> DataFrame:
+    """``line``, ``counter``, ``name``, ``n``: depth, references, node kinds, joins and sections of each record's filter tree.
+
+    Records without a readable tree have no rows.
+    """
+
+    def count(frames):
+        for f in frames:
+            out = []
+            for line, record in zip(f["line"], f["record"], strict=True):
+                try:
+                    tree = json.loads(json.loads(record)[json_filter.MAIN_TIER][json_filter.JSON_QUERY])[json_filter.VECTOR][json_filter.SYNTAX_FILTER]
+                except (ValueError, KeyError, TypeError):
+                    continue
+                s = json_filter.tree_stats(tree)
+                out += [(line, "depth", "", s["depth"]), (line, "refs", "", s["refs"])]
+                out += [(line, c, name, n) for c in ("kinds", "joins", "sections") for name, n in s[c].items()]
+            yield pd.DataFrame(out, columns=["line", "counter", "name", "n"])
+
+    return records.mapInPandas(count, "line long, counter string, name string, n long")

@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.sources import binary, text
-from quillon.operators import stats, synthetic, tables
+from quillon.operators import search, stats, synthetic, tables
+from quillon.plans import filters
 from quillon.plans.filters import FilterSyntaxError
 from quillon.streaming import ingest
 
@@ -94,7 +95,16 @@ def test_query_records(spark, tmp_path):
     with pytest.raises(Exception, match="line"):
         text.extract_queries(text.read_query_records(spark, str(lines)), {}, 2, strict=True).collect()
     good = spark.createDataFrame([(0, [1.0], "4", 2)], "line long, vec array<double>, filter string, k long")
-    text.write_queries(good, str(tmp_path / "out"), {"dim": 1})
+    out = tmp_path / "out"
+    text.write_queries(good, str(out), {"name": "x"})
+    assert not (out / "skipped_warnings").exists()
+    text.write_queries(text.extract_queries(text.read_query_records(spark, str(lines)), {"a#x": 4}, 2), str(out), {"name": "x"})
+    told = json.loads(spark.read.text(str(out / "manifest")).collect()[0][0])
+    assert told == {"name": "x", "query_count": 1, "vector_dim": 2, "skipped_query_count": 2, "topk_min": 2, "topk_max": 2}
+    assert [r.expr for r in text.read_filters(spark, str(out / "filters")).collect()] == ["4"] and text.read_topk(spark, str(out / "topk"), 1).collect()[0].k == 2
+    assert [r[0][:7] for r in spark.read.text(str(out / "skipped_warnings")).collect()] == ["line 1:", "line 3:"]
+    with pytest.raises(ValueError, match="no valid"):
+        text.write_queries(good.withColumn("problem", F.lit("bad")), str(tmp_path / "none"), {})
     text.write_tsv(good.select("line", "k"), str(tmp_path / "tsv"), ["line"])
     assert spark.read.csv(str(tmp_path / "tsv"), sep="\t", header=True).collect()[0].k == "2"
 
@@ -117,6 +127,49 @@ def test_synthetic_is_the_same_for_any_partitioning(spark):
     assert all(len(set(r.tags)) == 5 and all(-1 <= x < 1 for x in r.vec) for r in one)
 
 
+def test_banded_frequencies(spark):
+    rows = synthetic.banded_corpus(spark, 3000, 4, [(5, 0.9, 1.0), (20, 0.2, 0.3), (100, 0.001, 0.01)], rich_share=0.0)
+    n = {r.tag: r.n / 3000 for r in rows.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert all(0.87 < n[t] <= 1 for t in range(5)) and all(0.15 < n[t] < 0.35 for t in range(5, 25)) and all(n.get(t, 0) < 0.03 for t in range(25, 125))
+    rich = synthetic.banded_corpus(spark, 3000, 4, [(20, 0.1, 0.1)], rich_share=1.0).agg(F.avg(F.size("tags"))).collect()[0][0]
+    assert 20 * 0.1 * 2.5 < rich < 20 * 0.1 * 9
+
+
+def test_synthetic_queries(spark):
+    docs = synthetic.banded_corpus(spark, 4000, 4)
+    freq = docs.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("doc_freq"))
+    rows = synthetic.queries(spark, 30, 4, freq, 4000, target=0.1, groups=1).collect()
+    held = {r.tag for r in freq.collect()}
+    used = [filters.terms(filters.parse(r["filter"])) for r in rows]
+    hit = [search.match(docs, spark.createDataFrame([r])).count() / 4000 for r in rows[:3]]
+    assert len(rows) == 30 and all(0.02 < h < 0.3 for h in hit)
+    absent = sum(t not in held for u in used for t in u) / sum(map(len, used))
+    assert 0.4 < absent < 0.8
+    none = freq.filter("tag < 0")
+    assert {r["filter"] for r in synthetic.queries(spark, 3, 4, none, 4000).collect()} == {""}
+    common = freq.filter("doc_freq > 3000")
+    assert all(len(filters.terms(filters.parse(r["filter"]))) >= 1 for r in synthetic.queries(spark, 3, 4, common, 4000).collect())
+    for r in synthetic.grouped_queries(spark, 5, 4, 500).collect():
+        assert r["filter"].count(" AND ") == 5 and r["filter"].count("NOT") == 1 and max(filters.terms(filters.parse(r["filter"]))) < 500
+    sections = {"a": (0, 200), "b": (200, 200), "c": (400, 50), "d": (450, 10), "e": (460, 1)}
+    for r in synthetic.section_queries(spark, 5, 4, sections, ["a", "c"], ["d", "e"], {"a": "b"}, resolved=0.5, clauses=2).collect():
+        first, d, e, out = r["filter"].split(" AND ")
+        tags = filters.terms(filters.parse(first))
+        assert {t + 200 for t in tags if t < 200} == {t for t in tags if 200 <= t < 400} and any(t >= 461 for t in tags)
+        assert {"460"} in [set(x.strip("()").split(" OR ")) for x in (d, e)] and out.startswith("NOT (")
+
+
+def test_latency_files(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 2.5, 7, [1.0, 2.0], 0.25), (0, 1.0, 3, [0.5, 0.125], 0.5)], "idx long, ms double, topk int, shard_ms array<double>, merge_ms double").withColumn("total_ms", F.col("ms"))
+    read = lambda name: [tuple(r) for r in spark.read.csv(str(tmp_path / name), sep="\t", header=True).orderBy("idx").collect()]
+    text.write_latencies(rows, str(tmp_path / "q"))
+    assert read("q") == [("0", "1.0000", "3"), ("1", "2.5000", "7")]
+    text.write_shard_latencies(rows, str(tmp_path / "s"), 2)
+    assert read("s")[1] == ("1", "1.0000", "2.0000", "2.0000", "0.2500", "2.5000")
+    text.write_shard_latencies(rows, str(tmp_path / "one"), 1)
+    assert not (tmp_path / "one").exists()
+
+
 def test_ingest(spark, tmp_path):
     src, schema = str(tmp_path / "src"), spark.createDataFrame([], "key long, v string, version long").schema
     spark.createDataFrame([(1, "a", 1), (2, "b", 1)], schema).write.parquet(src)
