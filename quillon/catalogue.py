@@ -7,10 +7,12 @@ is divisible by 20; they take ten different filters in turn.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -130,16 +132,28 @@ def scan_doc_range(spark, sf_dir):
     return _read(spark, sf_dir, "embeddings").filter((i >= 100) & (i < 200)).select(i.alias("doc_id"), F.col("label").cast("long").alias("label"))
 
 
-def _lines(spark):
-    return spark.createDataFrame(list(enumerate(FILTERS)), "fid long, expr string")
-
-
 _LINES = "(VALUES " + ", ".join(f"({k}, '{t}')" for k, t in enumerate(FILTERS)) + ") AS v(fid, expr)"
 
 
-@add(f"SELECT CAST(fid AS BIGINT) AS fid, expr, expr = '' AS match_all FROM {_LINES}")
+@add(WITH + f"SELECT qid // {EVERY} AS fid, expr, expr = '' AS match_all FROM q JOIN {_LINES} USING (fid)")
 def filter_lines(spark, sf_dir):
-    return _lines(spark).select("fid", F.rtrim("expr").alias("expr"), (F.trim("expr") == "").alias("match_all"))
+    """The filter of every query, written as lines and read back."""
+    from .sources import text
+
+    path = _scratch(spark, "filters")
+    text.write_lines(queries(spark, sf_dir).select("qid", F.concat("filter", F.lit(" \r")).alias("filter")), path)
+    return text.read_filters(spark, path).select("fid", "expr", (F.trim("expr") == "").alias("match_all"))
+
+
+@add(WITH + "SELECT row_number() OVER (ORDER BY qid) - 1 AS qid, k FROM q")
+def topk_file(spark, sf_dir):
+    """Every query's k as a line, with three lines more than there are queries, which are cut."""
+    from .sources import text
+
+    q, path = queries(spark, sf_dir), _scratch(spark, "topk")
+    more = spark.range(3).select((F.col("id") + 2**40).alias("qid"), F.lit("77").alias("k"))
+    text.write_lines(q.select("qid", F.concat(F.lit(" "), F.col("k").cast("string")).alias("k")).unionByName(more), path)
+    return text.read_topk(spark, path, q.count()).select(*ids("qid", "k"))
 
 
 @add(WITH + "SELECT qid, row_number() OVER (ORDER BY qid) - 1 AS fid FROM q")
@@ -156,23 +170,6 @@ def query_cycle(spark, sf_dir):
     return search.cycle(q, 250).select(*ids("qid", "stored", "k"))
 
 
-_RECORDS = [
-    ('{"result_num": 3, "main_tier": {"json_query": "{\\"vector\\": {\\"relevance_learning2rank\\": [1.0, 2.0]}}"}}', 3, 2, True),
-    ('{"result_num": 0, "main_tier": {"json_query": "{\\"vector\\": {\\"relevance_learning2rank\\": [1.0, 2.0]}}"}}', 0, 2, False),
-    ('{"main_tier": {"json_query": "{\\"vector\\": {\\"relevance_learning2rank\\": [1.0, 2.0]}}"}}', None, 2, False),
-    ('{"result_num": 5, "main_tier": {}}', 5, None, False),
-    ('{"result_num": 7, "main_tier": {"json_query": "{\\"vector\\": {\\"relevance_learning2rank\\": [1.0]}}"}}', 7, 1, False),
-]
-
-
-@add("SELECT CAST(line AS BIGINT) AS line, CAST(k AS BIGINT) AS k, CAST(dim AS BIGINT) AS dim, ok FROM (VALUES " + ", ".join(f"({i}, {'NULL' if k is None else k}, {'NULL' if d is None else d}, {str(ok).lower()})" for i, (_, k, d, ok) in enumerate(_RECORDS)) + ") AS v(line, k, dim, ok)")
-def query_extract(spark, sf_dir):
-    from .sources import text
-
-    rows = spark.createDataFrame([(i, r[0]) for i, r in enumerate(_RECORDS)], "line long, record string")
-    return text.checked_records(rows, 2).select(*ids("line", "k", "dim"), "ok")
-
-
 def _scratch(spark, name: str) -> str:
     from .runtime import shared_dir
 
@@ -197,6 +194,23 @@ def _stored_records(spark, sf_dir) -> DataFrame:
 _STORED = "WITH r AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS line, vec_id AS i, label, vec_id // 20 % 7 AS k FROM embeddings WHERE vec_id % 20 = 0), x AS (SELECT *, CASE WHEN label > 2 THEN '0 AND (NOT 0)' WHEN i % 40 = 0 THEN CAST(label AS VARCHAR) ELSE '(' || label || ' AND NOT ((' || (10 + i % 7) || ' OR ' || (10 + (i + 1) % 7) || ')))' END AS filter FROM r) "
 
 
+@add(_STORED + "SELECT line, k, CAST(4 AS BIGINT) AS dim, k > 0 AS ok FROM x")
+def query_extract(spark, sf_dir):
+    from .sources import text
+
+    return text.checked_records(_stored_records(spark, sf_dir), 4).select(*ids("line", "k", "dim"), "ok")
+
+
+@add(_STORED + "SELECT line FROM x WHERE k = 0")
+def query_warnings(spark, sf_dir):
+    """The lines that the file of skipped records names."""
+    from .sources import text
+
+    path = _scratch(spark, "warned")
+    text.write_queries(_stored_queries(spark, sf_dir), path, {"source": "embeddings"})
+    return spark.read.text(f"{path}/skipped_warnings").select(F.regexp_extract("value", "^line ([0-9]+): .", 1).cast("long").alias("line"))
+
+
 def _stored_queries(spark, sf_dir) -> DataFrame:
     from .sources import text
 
@@ -226,8 +240,182 @@ def tree_counters(spark, sf_dir):
     return text.tree_counters(_stored_records(spark, sf_dir)).groupBy("counter", "name").agg(F.sum("n").alias("n"))
 
 
+def _dataset_folder(spark, sf_dir) -> str:
+    from .sources import binary
+
+    path = _scratch(spark, "datasets")
+    binary.write_datasets(docs(spark, sf_dir).select("doc_id", "vec", "tags"), path, TAG_NUM, 2 * SEGMENT)
+    return path
+
+
+_DATASET = WITH + "SELECT doc_id, list_sort(list_distinct(tags)) AS tags, list_sum(CAST(CAST(vec AS FLOAT[]) AS DOUBLE[])) AS total FROM d"
+_DATASET_SQL = "SELECT doc_id, array_to_string(tags, ',') AS tags, round(total, 6) AS total FROM (" + _DATASET + ")"
+
+
+def _dataset_rows(rows: DataFrame) -> DataFrame:
+    total = F.aggregate(F.col("vec").cast("array<double>"), F.lit(0.0), lambda a, x: a + x)
+    return rows.select("doc_id", F.array_join(F.col("tags").cast("array<string>"), ",").alias("tags"), F.round(total, 6).alias("total"))
+
+
+@add(_DATASET_SQL)
+def dataset_files(spark, sf_dir):
+    """The corpus as dataset files and back."""
+    from .sources import binary
+
+    return _dataset_rows(binary.read_datasets(spark, _dataset_folder(spark, sf_dir), 100))
+
+
+@add(f"SELECT doc_id - {2 * SEGMENT} AS doc_id, tags, total FROM ({_DATASET_SQL}) WHERE doc_id BETWEEN {2 * SEGMENT + 30} AND {2 * SEGMENT + 99}")
+def dataset_slice(spark, sf_dir):
+    """70 documents from the 30th on of the second dataset file, which numbers its own from 0 on."""
+    from .sources import binary
+
+    path = f"{_dataset_folder(spark, sf_dir)}/docs-{2 * SEGMENT:020d}.hyd"
+    return _dataset_rows(binary.read_dataset(spark, path, 16, 30, 70))
+
+
+@add(WITH + "SELECT row_number() OVER (ORDER BY qid) - 1 AS qid, CAST(len(qvec) AS BIGINT) AS dim, round(list_sum(CAST(CAST(qvec AS FLOAT[]) AS DOUBLE[])), 6) AS total FROM q")
+def fvecs_file(spark, sf_dir):
+    """The query vectors as a file and back."""
+    from .sources import binary
+
+    path = _scratch(spark, "queries") + ".fvecs"
+    binary.write_fvecs(queries(spark, sf_dir), path)
+    total = F.aggregate(F.col("vec").cast("array<double>"), F.lit(0.0), lambda a, x: a + x)
+    return binary.read_fvecs(spark, path).select("qid", F.size("vec").cast("long").alias("dim"), F.round(total, 6).alias("total"))
+
+
+@add("SELECT doc_id AS id, octet_length(encode(coalesce(text, ''))) AS bytes, md5(coalesce(text, '')) AS digest FROM documents")
+def record_files(spark, sf_dir):
+    """Whole texts as builder records and back."""
+    from .sources import binary
+
+    path = _scratch(spark, "records")
+    binary.write_records(_read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.encode("text", "utf-8").alias("payload")), path, 1 << 20)
+    return binary.read_records(spark, path).select("id", F.length("payload").cast("long").alias("bytes"), F.md5("payload").alias("digest"))
+
+
+_DICTIONARY = "SELECT DISTINCT 'label#' || label AS term, label AS tag_id FROM embeddings WHERE label % 2 = 0 UNION ALL SELECT DISTINCT 'week#' || vec_id % 7, 10 + vec_id % 7 FROM embeddings WHERE vec_id % 7 < 5"
+
+
+def _dictionary(spark, sf_dir) -> DataFrame:
+    """Labels that are even and five of the weeks, written as a dictionary file and read back."""
+    from .sources import binary
+
+    e, path = _read(spark, sf_dir, "embeddings"), _scratch(spark, "dictionary")
+    label, week = F.col("label").cast("long"), F.col("vec_id") % 7
+    terms = e.filter(label % 2 == 0).select(F.concat(F.lit("label#"), label.cast("string")).alias("term"), label.alias("tag_id")).distinct()
+    weeks = e.filter(week < 5).select(F.concat(F.lit("week#"), week.cast("string")).alias("term"), (10 + week).alias("tag_id")).distinct()
+    binary.write_tag_map(terms.unionByName(weeks), path)
+    return binary.read_tag_map(spark, path)
+
+
+@add(f"SELECT term, CAST(tag_id AS BIGINT) AS tag_id, split_part(term, '#', 1) AS section FROM ({_DICTIONARY})")
+def tag_map_file(spark, sf_dir):
+    return _dictionary(spark, sf_dir).select("term", F.col("tag_id").cast("long").alias("tag_id"), "section")
+
+
+@add(WITH + "SELECT segment_id, count(*) AS docs, CAST(sum(len(list_distinct(tags))) AS BIGINT) AS entries, min(b.bytes) AS bytes FROM d JOIN (SELECT segment_id, CAST(sum(bytes) AS BIGINT) AS bytes FROM p GROUP BY segment_id) b USING (segment_id) GROUP BY segment_id")
+def index_files(spark, sf_dir):
+    """The index written by segments and loaded again."""
+    path = _scratch(spark, "index")
+    corpus.write_index(docs(spark, sf_dir).select("doc_id", "vec", "tags"), path, SEGMENT, THRESHOLD)
+    index = corpus.load_index(spark, path)
+    count = lambda name, c: index[name].groupBy(F.col("segment_id").cast("long").alias("segment_id")).agg(c)
+    sizes = count("postings", F.sum("bytes").alias("bytes"))
+    return count("documents", F.count(F.lit(1)).alias("docs")).join(count("posting_docs", F.count(F.lit(1)).alias("entries")), "segment_id").join(sizes, "segment_id")
+
+
+@add("SELECT 'corpus' AS name, v AS version, (SELECT count(*) FROM embeddings WHERE v = 'v3' OR label < 5) AS rows FROM (VALUES ('v2'), ('v3')) AS t(v)")
+def table_versions(spark, sf_dir):
+    """Three versions are loaded, one of them twice and two of one name's are used on."""
+    from .operators.tables import TableRepository
+
+    e, known = _read(spark, sf_dir, "embeddings"), TableRepository(spark)
+    some = e.filter("label < 5")
+    for name, version, rows in (("corpus", "v1", e), ("corpus", "v2", some), ("corpus", "v3", e), ("corpus", "v2", e), ("other", "v1", e)):
+        known.create(name, version, rows, cache=False)
+    known.remove("corpus", "v9")
+    known.remove_unused({"corpus": {"v2", "v3"}})
+    parts = [rows.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("name"), F.lit(v).alias("version"), "rows") for (n, v), rows in known.loaded.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 # --- filters ---
 
+#: A filter for every vector: six forms over three tags that differ, one of them malformed.
+_FORMS = ["{a}", "NOT {a} AND\t{b} OR {c}", "({a} OR {b}) AND {c}", "NOT ({a} AND {b}\n AND {c})", "{a} AND", "  "]
+_FORM_AST = ["TAG({a})", "((NOT(TAG({a})) AND TAG({b})) OR TAG({c}))", "((TAG({a}) OR TAG({b})) AND TAG({c}))", "NOT((TAG({a}) AND TAG({b}) AND TAG({c})))", None, "MATCH_ALL"]
+_FORM_STEPS = ["{{{a}}}", "{{{a}}} NOT(1,0) {{{b}}} AND(1,1) {{{c}}} OR(1,1)", "{{{a},{b}}} {{{c}}} AND(2,0)", "{{{a}}} {{{b}}} {{{c}}} AND(3,0) NOT(0,1)", None, "MATCH_ALL"]
+_FORMED = "WITH w AS (SELECT vec_id AS id, vec_id % 6 AS form, vec_id % 10 AS a, 10 + vec_id % 7 AS b, 20 + vec_id % 13 AS c FROM embeddings) "
+
+
+def _formed_sql(forms: list) -> str:
+    """SQL for the form's text with the row's tags in place."""
+    filled = ["NULL" if f is None else "'" + f.format(a="' || a || '", b="' || b || '", c="' || c || '") + "'" for f in forms]
+    return "CASE form " + " ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(filled)) + " END"
+
+
+def _of_form(values: list) -> str:
+    return "CASE form " + " ".join(f"WHEN {k} THEN {'NULL' if v is None else v}" for k, v in enumerate(values)) + " END"
+
+
+def _compiled(spark, sf_dir) -> DataFrame:
+    i = F.col("vec_id")
+    text = F.element_at(F.array(*map(F.lit, _FORMS)), (i % 6 + 1).cast("int"))
+    for name, tag in (("{a}", i % 10), ("{b}", 10 + i % 7), ("{c}", 20 + i % 13)):
+        text = F.replace(text, F.lit(name), tag.cast("string"))
+    return quality.compiled(_read(spark, sf_dir, "embeddings").select(i.alias("id"), text.alias("filter")))
+
+
+@add(_FORMED + f"SELECT id, {_formed_sql(_FORM_AST)} AS ast, {_formed_sql(_FORM_STEPS)} AS postorder, form = 4 AS malformed FROM w")
+def filter_parse(spark, sf_dir):
+    """Every vector's filter read, printed and compiled."""
+    return _compiled(spark, sf_dir).select("id", "ast", "postorder", F.col("problem").isNotNull().alias("malformed"))
+
+
+@add(_FORMED + f"SELECT id, {_of_form([True, True, True, True, None, True])} AS sound, {_of_form([True, False, False, True, None, True])} AS cut_sound FROM w")
+def postorder_check(spark, sf_dir):
+    """Whether the steps are valid, and whether they are without the last one."""
+    return _compiled(spark, sf_dir).select("id", "sound", "cut_sound")
+
+
+_FIELDS = ["label", "week", "kind"]
+
+
+@add("SELECT vec_id AS id, CASE vec_id % 8 WHEN 0 THEN NULL WHEN 1 THEN '(' || l || ')' WHEN 2 THEN '(' || w || ')' WHEN 3 THEN '(' || l || ' AND ' || w || ')' WHEN 4 THEN '((' || k || '))' WHEN 5 THEN '(' || l || ' AND (' || k || '))' WHEN 6 THEN '(' || w || ' AND (' || k || '))' ELSE '(' || l || ' AND ' || w || ' AND (' || k || '))' END AS ast FROM (SELECT vec_id, 'TAG(' || label || ')' AS l, 'NOT(TAG(' || (10 + vec_id % 7) || '))' AS w, 'TAG(100)' AS k FROM embeddings)")
+def filter_prune(spark, sf_dir):
+    """Trees of terms of three fields, of which the id's last bits say which are known."""
+    from .runtime import ship
+
+    @F.pandas_udf("string")
+    def pruned(i: pd.Series, label: pd.Series) -> pd.Series:
+        def one(i, label):
+            tree = filters.And((filters.Term(label, "label"), filters.Not(filters.Term(10 + i % 7, "week")), filters.Or((filters.Term(100, "kind"), filters.Term(200, "none")))))
+            left = filters.prune(tree, {f for k, f in enumerate(_FIELDS) if i >> k & 1})
+            return None if left is None else filters.to_text(left)
+
+        return pd.Series([one(int(a), int(b)) for a, b in zip(i, label, strict=True)])
+
+    ship(spark)
+    return _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), pruned("vec_id", F.col("label").cast("long")).alias("ast"))
+
+
+@add("SELECT vec_id AS id, CASE vec_id % 5 WHEN 0 THEN CASE WHEN label % 2 = 0 THEN 'true' ELSE 'false' END WHEN 1 THEN CAST(vec_id AS VARCHAR) WHEN 2 THEN 'x' || vec_id WHEN 3 THEN printf('%.6g', vec_id / 7E0) ELSE '' END AS term FROM embeddings")
+def json_scalars(spark, sf_dir):
+    """JSON scalars of each kind as dictionary terms; others than scalars give none."""
+    from .runtime import ship
+
+    @F.pandas_udf("string")
+    def texts(values: pd.Series) -> pd.Series:
+        return values.map(json.loads).map(json_filter.scalar_text)
+
+    ship(spark)
+    i = F.col("vec_id")
+    word = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    value = F.when(i % 5 == 0, (F.col("label") % 2 == 0).cast("string")).when(i % 5 == 1, word(i)).when(i % 5 == 2, word('"x', i, '"')).when(i % 5 == 3, F.to_json(F.array((i / F.lit(7.0)).cast("double")))).otherwise("null")
+    return _read(spark, sf_dir, "embeddings").select(i.alias("id"), F.regexp_replace(value, r"^\[|\]$", "").alias("v")).select("id", texts("v").alias("term"))
+
 
 def _filter_query(name: str, text: str, where: str) -> None:
     def run(spark, sf_dir):
@@ -294,13 +482,16 @@ def tag_dictionary(spark, sf_dir):
     return both.select("term", (F.dense_rank().over(Window.orderBy("term")) - 1).cast("long").alias("tag_id"), "n")
 
 
-_WANTED = ["label#3", "label#9", "week#2", "kind#rare", "kind#none", "label#3"]
+_RESOLVED = f"SELECT position, v.term, CAST(tag_id AS BIGINT) AS tag_id FROM (SELECT 2 * vec_id AS position, 'label#' || label AS term FROM embeddings UNION ALL SELECT 2 * vec_id + 1, 'week#' || vec_id % 7 FROM embeddings) v LEFT JOIN ({_DICTIONARY}) m ON m.term = v.term"
 
 
-@add("SELECT CAST(position AS BIGINT) AS position, v.term, CAST(tag_id AS BIGINT) AS tag_id FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(_WANTED)) + ") AS v(position, term) LEFT JOIN (VALUES " + ", ".join(f"('{t}', {i})" for t, i in _TAG_MAP.items()) + ") AS m(term, tag_id) ON m.term = v.term")
+@add(_RESOLVED)
 def tag_resolve(spark, sf_dir):
-    tags = spark.createDataFrame(list(_TAG_MAP.items()), "term string, tag_id long")
-    return spark.createDataFrame(list(enumerate(_WANTED)), "position long, term string").join(tags, "term", "left").select("position", "term", "tag_id")
+    """Two terms of every vector looked up in the dictionary read from its file."""
+    i = F.col("vec_id")
+    pair = F.array(F.concat(F.lit("label#"), F.col("label").cast("string")), F.concat(F.lit("week#"), (i % 7).cast("string")))
+    asked = _read(spark, sf_dir, "embeddings").select(i, F.posexplode(pair).alias("at", "term")).select((2 * i + F.col("at")).alias("position"), "term")
+    return asked.join(_dictionary(spark, sf_dir), "term", "left").select("position", "term", F.col("tag_id").cast("long").alias("tag_id"))
 
 
 # --- postings ---
@@ -730,22 +921,29 @@ def recall_summary(spark, sf_dir):
     return s.select("queries", F.round("avg_recall", 6).alias("avg_recall"), F.round("min_recall", 6).alias("min_recall"), "below_one")
 
 
-@add("SELECT CAST(fid AS BIGINT) AS fid, CAST(depth AS BIGINT) AS depth, CAST(refs AS BIGINT) AS refs, CAST(tags AS BIGINT) AS tags FROM (VALUES (0,1,0,0),(1,1,1,1),(2,2,2,2),(3,2,3,3),(4,2,1,1),(5,4,4,4),(6,1,1,1),(7,3,2,1),(8,3,3,3),(9,2,2,2)) AS v(fid, depth, refs, tags)")
+@add(_FORMED + f"SELECT id, CAST({_of_form([1, 4, 3, 3, None, 1])} AS BIGINT) AS depth, CAST({_of_form([1, 3, 3, 3, None, 0])} AS BIGINT) AS refs, CAST({_of_form([1, 3, 3, 3, None, 0])} AS BIGINT) AS tags FROM w")
 def filter_shape(spark, sf_dir):
-    trees = [filters.parse(t) for t in FILTERS]
-    return spark.createDataFrame([(k, filters.depth(t), len(filters.terms(t)), len(set(filters.terms(t)))) for k, t in enumerate(trees)], "fid long, depth long, refs long, tags long")
+    return _compiled(spark, sf_dir).select("id", "depth", "refs", "tags")
+
+
+def _shape_rows(spark, sf_dir) -> DataFrame:
+    return _compiled(spark, sf_dir).select("id", F.explode("shape").alias("s")).select("id", "s.*")
 
 
-@add("SELECT op, CAST(nodes AS BIGINT) AS nodes, CAST(postings AS BIGINT) AS postings, CAST(stacked AS BIGINT) AS stacked, CAST(most AS BIGINT) AS most_operands FROM (VALUES ('AND', 5, 8, 2, 2), ('OR', 1, 1, 1, 2), ('NOT', 3, 3, 0, 2)) AS v(op, nodes, postings, stacked, most)")
+#: The operators of each form: its number, the operator, posting and stacked operands, the most of the form.
+_FORM_OPS = "(VALUES (1, 'NOT', 1, 0, 2), (1, 'AND', 1, 1, 2), (1, 'OR', 1, 1, 2), (2, 'AND', 2, 0, 2), (3, 'AND', 3, 0, 3), (3, 'NOT', 0, 1, 3)) AS v(form, op, postings, stacked, most)"
+
+
+@add(_FORMED + f"SELECT op, count(*) AS nodes, CAST(sum(postings) AS BIGINT) AS postings, CAST(sum(stacked) AS BIGINT) AS stacked, CAST(max(most) AS BIGINT) AS most_operands FROM w JOIN {_FORM_OPS} USING (form) GROUP BY op")
 def expr_stats(spark, sf_dir):
-    s = quality.shapes(spark, dict(enumerate(FILTERS)))
+    s = _shape_rows(spark, sf_dir)
     return s.groupBy("op").agg(*[F.sum(c).alias(c) for c in ("nodes", "postings", "stacked")], F.max("most_operands").alias("most_operands"))
 
 
-@add("SELECT bucket, count(*) AS n FROM (VALUES ('2'), ('2'), ('2'), ('2'), ('2'), ('2')) AS v(bucket) GROUP BY bucket")
+@add(_FORMED + f"SELECT CAST(postings + stacked AS VARCHAR) AS bucket, count(*) AS n FROM w JOIN {_FORM_OPS} USING (form) WHERE op <> 'NOT' GROUP BY 1")
 def operand_histogram(spark, sf_dir):
-    s = quality.shapes(spark, dict(enumerate(FILTERS))).filter("op in ('AND', 'OR')")
-    return s.select(F.explode(F.sequence(F.lit(1), F.col("nodes"))), quality.operand_bucket(((F.col("postings") + F.col("stacked")) / F.col("nodes")).cast("long")).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    s = _shape_rows(spark, sf_dir).filter("op in ('AND', 'OR')")
+    return s.groupBy(quality.operand_bucket(((F.col("postings") + F.col("stacked")) / F.col("nodes")).cast("long")).alias("bucket")).agg(F.sum("nodes").alias("n"))
 
 
 @add(WITH + "SELECT qid, terms, present, terms - present AS missing, CASE WHEN present < terms THEN 'missing_postings_match_converter_absence_or_index_subset' ELSE 'no_missing_postings' END AS diagnosis FROM (SELECT qid, count(*) AS terms, count(*) FILTER (EXISTS (SELECT 1 FROM e WHERE e.tag = w.tag)) AS present FROM (SELECT DISTINCT CAST(qid AS BIGINT) AS qid, CAST(tag AS BIGINT) AS tag FROM (VALUES (1,3),(2,3),(2,12),(3,3),(3,25),(3,41),(4,3),(5,1),(5,2),(5,13),(5,44),(6,999),(7,3),(8,100),(8,25),(8,11),(9,101),(9,100)) AS v(qid, tag)) w GROUP BY qid)")
@@ -768,6 +966,20 @@ def bitlist_stats(spark, sf_dir):
     return quality.conversions(quality.term_rows(spark, dict(enumerate(FILTERS))), postings(spark, sf_dir))
 
 
+@add(WITH + "SELECT qid, doc_id FROM r16 WHERE rk <= k")
+def truth_cache(spark, sf_dir):
+    """The truth written under its fingerprint, and read instead of computed the second time."""
+    d, q, folder = docs(spark, sf_dir), queries(spark, sf_dir), _scratch(spark, "truth")
+    key = quality.fingerprint(d.agg(F.count(F.lit(1)).alias("docs"), F.lit(True).alias("f16"))).collect()[0]["fingerprint"]
+    quality.cached_truth(d, q, folder, key)
+    return quality.cached_truth(d.limit(0), q, folder, key)
+
+
+@add("SELECT doc_range, dim, sha256('{\"doc_range\":' || doc_range || ',\"dim\":' || dim || '}') AS fingerprint FROM (SELECT vec_id AS doc_range, CAST(len(embedding) AS BIGINT) AS dim FROM embeddings)")
+def recall_fingerprint(spark, sf_dir):
+    return quality.fingerprint(_read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_range"), F.size("embedding").cast("long").alias("dim")))
+
+
 @add(WITH + ", n AS (SELECT count(*) AS n FROM d) SELECT qid, count(m.doc_id) AS matches, round(count(m.doc_id) / min(n), 6) AS share FROM q LEFT JOIN m USING (qid) CROSS JOIN n GROUP BY qid")
 def filter_selectivity(spark, sf_dir):
     d, q = docs(spark, sf_dir), queries(spark, sf_dir)
@@ -785,7 +997,7 @@ def filter_selectivity_est(spark, sf_dir):
     return spark.createDataFrame([(k, round(filters.selectivity(filters.parse(t), share), 6)) for k, t in enumerate(FILTERS)], "fid long, estimate double")
 
 
-@add("SELECT count(*) AS refs, count(tag_id) AS resolved, round(count(tag_id) / count(*), 6) AS rate FROM (SELECT unnest(['label#3', 'label#9', 'week#2', 'kind#rare', 'kind#none', 'label#3']) AS term) v LEFT JOIN (VALUES " + ", ".join(f"('{t}', {i})" for t, i in _TAG_MAP.items()) + ") AS m(term, tag_id) ON m.term = v.term")
+@add(f"SELECT count(*) AS refs, count(tag_id) AS resolved, round(count(tag_id) / count(*), 6) AS rate FROM ({_RESOLVED})")
 def tag_resolution(spark, sf_dir):
     return tag_resolve(spark, sf_dir).agg(F.count(F.lit(1)).alias("refs"), F.count("tag_id").alias("resolved"), F.round(F.count("tag_id") / F.count(F.lit(1)), 6).alias("rate"))
 
@@ -826,13 +1038,13 @@ def dictionary_problems(spark, sf_dir):
     return stats.dictionary_problems(_read(spark, sf_dir, "documents").select(term.alias("term"), (i % 40).alias("tag_id")).distinct())
 
 
-_TREE = {"and": [{"terms": {"label": [1, 2], "week": [0]}}, {"not": {"term": {"kind": "rare"}}}, {"or": [{"term": {"label": 1}}]}]}
-
-
-@add("SELECT section, CAST(refs AS BIGINT) AS refs FROM (VALUES ('label', 3), ('week', 1), ('kind', 1)) AS v(section, refs)")
+@add(_STORED + "SELECT section, refs FROM (SELECT 'label' AS section, count(*) AS refs FROM r UNION ALL SELECT 'week', 2 * count(*) FILTER (i % 40 <> 0) FROM r) WHERE refs > 0")
 def top_sections(spark, sf_dir):
-    s = json_filter.tree_stats(_TREE)["sections"]
-    return spark.createDataFrame(list(s.items()), "section string, refs long").orderBy(F.col("refs").desc(), "section").limit(10)
+    """The ten sections that the stored records refer to most."""
+    from .sources import text
+
+    s = text.tree_counters(_stored_records(spark, sf_dir)).filter("counter = 'sections'")
+    return s.groupBy(F.col("name").alias("section")).agg(F.sum("n").alias("refs")).orderBy(F.col("refs").desc(), "section").limit(10)
 
 
 _EVENT_P = {"p50": 0.5, "p95": 0.95, "p99": 0.99}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -99,13 +100,36 @@ def conversions(terms: DataFrame, postings: DataFrame) -> DataFrame:
     return touched.groupBy("qid").agg(F.count(F.lit(1)).alias("postings"), F.count(F.when(sparse, 1)).alias("converted"), F.coalesce(F.sum(F.when(sparse, F.col("unit_count"))), F.lit(0)).alias("units"))
 
 
-def shapes(spark, texts: dict[int, str]) -> DataFrame:
-    """``qid``, ``op``, ``nodes``, ``postings``, ``stacked``, ``most_operands`` of the compiled filters."""
-    rows = []
-    for q, text in texts.items():
-        s = filters.shape(filters.flatten(filters.parse(text)))
-        rows += [(q, op, s["nodes"][op], s["postings"][op], s["stacked"][op], s["most"]) for op in s["nodes"]]
-    return spark.createDataFrame(rows, "qid long, op string, nodes long, postings long, stacked long, most_operands long")
+def compiled(rows: DataFrame, expr: str = "filter") -> DataFrame:
+    """``rows`` with what becomes of the filter in ``expr``, whatever the number of different filters.
+
+    ``ast`` and ``postorder`` (text), ``depth``, ``refs``, ``tags`` (of the tree as it is
+    written), ``sound`` (its post-order steps are valid), ``cut_sound`` (they still are
+    without the last one), ``shape`` (an array of ``op``, ``nodes``, ``postings``,
+    ``stacked``, ``most_operands``) and ``problem``.  A filter that can't be read has
+    its problem and nulls; a null or blank one matches all.
+    """
+    from ..runtime import ship
+
+    found = "ast string, postorder string, depth long, refs long, tags long, sound boolean, cut_sound boolean, shape array<struct<op: string, nodes: bigint, postings: bigint, stacked: bigint, most_operands: bigint>>, problem string"
+
+    def one(text):
+        try:
+            tree = filters.parse(text)
+        except filters.FilterSyntaxError as e:
+            return (*[None] * 8, str(e))
+        flat = filters.flatten(tree)
+        steps, s, refs = filters.to_postorder(flat), filters.shape(flat), filters.terms(tree)
+        shape = [(op, s["nodes"][op], s["postings"][op], s["stacked"][op], s["most"]) for op in s["nodes"]]
+        return (filters.to_text(tree), steps_text(steps), filters.depth(tree), len(refs), len(set(refs)), filters.check_postorder(steps), filters.check_postorder(steps[:-1]), shape, None)
+
+    @F.pandas_udf(found)
+    def run(texts: pd.Series) -> pd.DataFrame:
+        seen = {t: one(t) for t in texts.unique()}
+        return pd.DataFrame([seen[t] for t in texts], columns=["ast", "postorder", "depth", "refs", "tags", "sound", "cut_sound", "shape", "problem"]).astype({c: "Int64" for c in ("depth", "refs", "tags")} | {c: "boolean" for c in ("sound", "cut_sound")})
+
+    ship(rows.sparkSession)
+    return rows.withColumn("_c", run(F.coalesce(expr, F.lit("")))).select(*rows.columns, "_c.*")
 
 
 def operand_bucket(n):

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans import filters, json_filter
+from ..runtime import ship
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -102,6 +103,7 @@ def extract_queries(records: DataFrame, tags: dict[str, int], dim: int | None =
                     out.append((line, None, None, None, str(e)))
             yield pd.DataFrame(out, columns=["line", "vec", "filter", "k", "problem"]).astype({"k": "Int64"})
 
+    ship(records.sparkSession)
     return records.mapInPandas(one, "line long, vec array<double>, filter string, k long, problem string")
 
 
@@ -190,4 +192,5 @@ def tree_counters(records: DataFrame) -> DataFrame:
                 out += [(line, c, name, n) for c in ("kinds", "joins", "sections") for name, n in s[c].items()]
             yield pd.DataFrame(out, columns=["line", "counter", "name", "n"])
 
+    ship(records.sparkSession)
     return records.mapInPandas(count, "line long, counter string, name string, n long")

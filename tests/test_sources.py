@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.sources import binary, text
-from quillon.operators import search, stats, synthetic, tables
+from quillon.operators import quality, search, stats, synthetic, tables
 from quillon.plans import filters
 from quillon.plans.filters import FilterSyntaxError
 from quillon.streaming import ingest
@@ -193,3 +193,38 @@ def test_percentiles_and_break_even(spark):
     same = stats.fixed_histogram(spark.createDataFrame([(2.0,), (2.0,)], "v double"), "v", 5).collect()
     assert [(x.bucket, x.n) for x in same] == [(0, 2)]
     assert df.select(F.max("v")).collect()[0][0] == 9.0
+
+
+def test_checked_records(spark):
+    inner = lambda v: {"json_query": json.dumps({"vector": {"relevance_learning2rank": v}})}
+    records = [{"result_num": 3, "main_tier": inner([1.0, 2.0])}, {"result_num": 0, "main_tier": inner([1.0, 2.0])}, {"main_tier": inner([1.0, 2.0])}, {"result_num": 5, "main_tier": {}}, {"result_num": 7, "main_tier": inner([1.0])}]
+    rows = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)], "line long, record string")
+    got = [tuple(r) for r in text.checked_records(rows, 2).orderBy("line").collect()]
+    assert got == [(0, 3, 2, True), (1, 0, 2, False), (2, None, 2, False), (3, 5, None, False), (4, 7, 1, False)]
+
+
+def test_written_files(spark, tmp_path):
+    docs = spark.range(25).selectExpr("id as doc_id", "array(id * 0.5, 1.0) as vec", "if(id % 5 = 0, null, array(id, 70)) as tags")
+    folder = f"file://{tmp_path}/d"
+    assert binary.write_datasets(docs, folder, 71, 10) == 3
+    got = {r.doc_id: (r.vec, r.tags) for r in binary.read_datasets(spark, folder, 4).collect()}
+    assert got == {i: ([i * 0.5, 1.0], [] if i % 5 == 0 else [i, 70]) for i in range(25)}
+    with pytest.raises(Exception, match="consecutive"):
+        binary.write_datasets(docs.filter("doc_id <> 13"), f"file://{tmp_path}/gap", 71, 10)
+    rows = spark.createDataFrame([(i, None if i == 3 else bytes([i]) * 40) for i in range(10)] + [(7, b"again")], "id long, payload binary")
+    binary.write_records(rows, f"file://{tmp_path}/r", 100)
+    back = sorted((r.id, bytes(r.payload)) for r in binary.read_records(spark, f"file://{tmp_path}/r").collect())
+    assert back == sorted([(i, b"" if i == 3 else bytes([i]) * 40) for i in range(10)] + [(7, b"again")])
+    assert len(list((tmp_path / "r").glob("*.rec"))) >= 3
+    with pytest.raises(ValueError):
+        binary.write_tag_map(spark.createDataFrame([], "term string, tag_id long"), f"file://{tmp_path}/t")
+
+
+def test_compiled_filters(spark):
+    rows = spark.createDataFrame([(0, "3 AND NOT (4 OR 4)"), (1, None), (2, "AND"), (3, "7")], "qid long, filter string")
+    got = {r.qid: r for r in quality.compiled(rows).collect()}
+    assert (got[0].ast, got[0].depth, got[0].refs, got[0].tags, got[0].sound) == ("(TAG(3) AND NOT((TAG(4) OR TAG(4))))", 4, 3, 2, True)
+    assert got[1].ast == got[1].postorder == "MATCH_ALL" and got[3].postorder == "{7}"
+    assert got[2].ast is None and got[2].problem and got[2].sound is None
+    assert {(x.op, x.nodes) for x in got[0]["shape"]} == {("AND", 1), ("NOT", 1)}
+    assert quality.compiled(rows.limit(0)).collect() == []
