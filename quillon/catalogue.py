@@ -1143,15 +1143,13 @@ def batch_schedule(spark, sf_dir):
 
 
 def _service(spark, sf_dir):
-    from pyspark.sql import Window
-
     e = _read(spark, sf_dir, "events").filter("value is not null")
-    return e.select(F.col("event_type").alias("lane"), (F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")) - 1).cast("long").alias("i"), F.col("value").alias("service_ms"))
+    return corpus.numbered(e.select(F.col("event_type").alias("lane"), "event_id", F.col("value").alias("service_ms")), "event_id", ["lane"]).drop("event_id")
 
 
 @add("WITH v AS (SELECT event_type AS lane, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS i, value FROM events WHERE value IS NOT NULL), s AS (SELECT *, i * 1000.0E0 / 12 AS arrival, sum(value) OVER (PARTITION BY lane ORDER BY i) AS run FROM v), t AS (SELECT *, run + max(arrival - (run - value)) OVER (PARTITION BY lane ORDER BY i) AS done FROM s) SELECT lane, count(*) AS n, round(avg(done - arrival), 3) AS mean_latency, round(max(done - arrival), 3) AS max_latency FROM t GROUP BY lane")
 def open_loop_latency(spark, sf_dir):
-    r = ingest.open_loop_sql(_service(spark, sf_dir), 12.0)
+    r = ingest.open_loop_sql(_service(spark, sf_dir), 12.0, width=512)
     return r.groupBy("lane").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("latency_ms"), 3).alias("mean_latency"), F.round(F.max("latency_ms"), 3).alias("max_latency"))
 
 

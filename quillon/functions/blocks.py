@@ -6,6 +6,9 @@ import numpy as np
 
 from ..plans.filters import And, MatchAll, Node, Not, Or, Term, Terms, terms
 
+#: Documents that are scored at once, and queries whose results leave a task together.
+PART, OUT = 2048, 64
+
 
 def half(v: np.ndarray) -> np.ndarray:
     """Rounded to half precision; subnormals become 0, infinite values NaN."""
@@ -27,31 +30,33 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
 
 
 def matches(node: Node, held: np.ndarray, at: dict[int, int]) -> np.ndarray:
-    """Which documents a flattened filter matches; column ``at[t]`` of ``held`` tells who has tag t."""
+    """The bitmap of the documents that a flattened filter matches; row ``at[t]`` of ``held`` is tag t's. Bits behind the last document are anything."""
     match node:
         case MatchAll():
-            return np.ones(len(held), bool)
+            return np.full(held.shape[1], 255, np.uint8)
         case Term(tag):
-            return held[:, at[tag]]
+            return held[at[tag]]
         case Terms(tags):
-            return held[:, [at[t] for t in tags]].any(axis=1)
+            return np.bitwise_or.reduce(held[[at[t] for t in tags]], axis=0)
         case Not(child):
             return ~matches(child, held, at)
         case And(parts):
-            return np.logical_and.reduce([matches(p, held, at) for p in parts])
+            return np.bitwise_and.reduce([matches(p, held, at) for p in parts])
         case Or(parts):
-            return np.logical_or.reduce([matches(p, held, at) for p in parts])
+            return np.bitwise_or.reduce([matches(p, held, at) for p in parts])
     raise TypeError(node)
 
 
-def tag_matrix(values: np.ndarray, lengths: np.ndarray, used: np.ndarray) -> np.ndarray:
-    """Documents by used tags; ``values`` are all documents' tags in a row, ``used`` is sorted."""
-    held = np.zeros((len(lengths), len(used)), bool)
+def tag_bitmaps(tags, used: np.ndarray) -> np.ndarray:
+    """A bitmap of documents for each used tag; ``tags`` is an Arrow list column, ``used`` is sorted."""
+    lengths = tags.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    values = tags.flatten().to_numpy(zero_copy_only=False)
+    held = np.zeros((len(used), len(lengths)), bool)
     if len(used) and len(values):
         place = np.minimum(np.searchsorted(used, values), len(used) - 1)
         hit = used[place] == values
-        held[np.repeat(np.arange(len(lengths)), lengths)[hit], place[hit]] = True
-    return held
+        held[place[hit], np.repeat(np.arange(len(lengths)), lengths)[hit]] = True
+    return np.packbits(held, axis=1)
 
 
 def matching_filters(trees: list[Node], at: int):
@@ -63,10 +68,8 @@ def matching_filters(trees: list[Node], at: int):
         import pyarrow as pa
 
         for b in batches:
-            tags = b.column(at)
-            lengths = tags.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            held = tag_matrix(tags.flatten().to_numpy(zero_copy_only=False), lengths, used)
-            hits = np.stack([matches(t, held, columns) for t in trees], axis=1) if b.num_rows else np.zeros((0, len(trees)), bool)
+            held = tag_bitmaps(b.column(at), used)
+            hits = np.unpackbits(np.stack([matches(t, held, columns) for t in trees]), axis=1, count=b.num_rows).T
             ends = np.r_[0, np.cumsum(hits.sum(axis=1))].astype(np.int32)
             fids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.nonzero(hits)[1].astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*b.columns, fids], names=[*b.schema.names, "_fids"])
@@ -81,33 +84,39 @@ def block_top_k(vectors: list, trees: list[Node], fids: list[int], ks: list[int]
     q = np.array(vectors, np.float64).reshape(len(vectors), -1)
     q = half(q) if f16 else q
 
+    by_filter: dict[int, list[int]] = {}
+    for i, fid in enumerate(fids):
+        by_filter.setdefault(fid, []).append(i)
+
     def run(batches):
         import pyarrow as pa
 
         none = (np.zeros(0), np.zeros(0, np.int64))
         held = [none] * len(qids)
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in (whole.slice(lo, PART) for whole in batches for lo in range(0, whole.num_rows, PART)):
             ids = b.column(0).to_numpy(zero_copy_only=False)
             v = b.column(1).flatten().to_numpy(zero_copy_only=False)
             if len(v) != b.num_rows * q.shape[1]:
                 raise ValueError("a document's vector has another length than the queries'")
             v = v.reshape(b.num_rows, q.shape[1])
-            lengths = b.column(2).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            held_tags = tag_matrix(b.column(2).flatten().to_numpy(zero_copy_only=False), lengths, used)
-            bits = [matches(t, held_tags, columns) for t in trees]
-            scores = (half(v) if f16 else v) @ q.T
-            for i, (fid, k) in enumerate(zip(fids, ks, strict=True)):
-                at = np.flatnonzero(bits[fid])
-                s = scores[at, i]
-                if len(held[i][0]) >= k:
-                    ok = s >= held[i][0][-1]
-                    at, s = at[ok], s[ok]
-                if len(at):
-                    held[i] = best(np.r_[held[i][0], s], np.r_[held[i][1], ids[at]], k)
-        for i, (s, ids) in enumerate(held):
-            if len(s):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), qids[i]), pa.int64()), pa.array(np.full(len(s), ks[i]), pa.int32()), pa.array(ids, pa.int64()), pa.array(s, pa.float64())], names=["qid", "k", "doc_id", "score"])
+            scores = q @ (half(v) if f16 else v).T
+            bitmaps = tag_bitmaps(b.column(2), used)
+            for fid, asking in by_filter.items():
+                at = np.flatnonzero(np.unpackbits(matches(trees[fid], bitmaps, columns), count=b.num_rows))
+                if not len(at):
+                    continue
+                for i in asking:
+                    s, rows = scores[i, at], at
+                    if len(held[i][0]) >= ks[i]:
+                        ok = s >= held[i][0][-1]
+                        rows, s = at[ok], s[ok]
+                    if len(rows):
+                        held[i] = best(np.r_[held[i][0], s], np.r_[held[i][1], ids[rows]], ks[i])
+        for lo in range(0, len(held), OUT):
+            some = held[lo : lo + OUT]
+            n = [len(s) for s, _ in some]
+            if sum(n):
+                own = [np.repeat(x[lo : lo + OUT], n) for x in (np.array(qids, np.int64), np.array(ks, np.int32))]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*own, np.concatenate([ids for _, ids in some]), np.concatenate([s for s, _ in some]))], names=["qid", "k", "doc_id", "score"])
 
     return run

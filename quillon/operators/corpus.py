@@ -5,6 +5,8 @@ A corpus has ``doc_id``, ``vec`` (array of numbers) and ``tags`` (array of ids).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +48,22 @@ def with_segments(docs: DataFrame, segment_docs: int, offset: int = 0) -> DataFr
     return docs.withColumns({"segment_id": F.floor(at / segment_docs).cast("long"), "local_id": F.pmod(at, F.lit(segment_docs)).cast("long")})
 
 
+def numbered(rows: DataFrame, key: str, by: list[str] | None = None, name: str = "i", width: int = 65536) -> DataFrame:
+    """``name``: each row's place from 0 on by the integer ``key``, in every group of ``by``; repeated keys in any order.
+
+    Ranges of ``width`` keys are counted first, and rows are numbered range by range, so
+    a task sorts one range and only the ranges' counts are summed up in a row.  Null keys come first.
+    """
+    by = by or []
+    ranged = rows.withColumn("_range", F.floor(F.col(key) / width))
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    same = reduce(lambda a, b: a & b, [F.col(f"r.{c}").eqNullSafe(F.col(f"c.{c}")) for c in (*by, "_range")])
+    joined = ranged.alias("r").join(counts.alias("c"), same).select("r.*", "_before")
+    inside = F.row_number().over(Window.partitionBy(*by, "_range").orderBy(key)) - 1
+    return joined.withColumn(name, (F.col("_before") + inside).cast("long")).drop("_range", "_before")
+
+
 def shard_of(doc_id: Column, total: int, shards: int) -> Column:
     """Contiguous ranges of equal size; what is left over belongs to the last one."""
     each = max(1, total // shards)

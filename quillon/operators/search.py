@@ -15,10 +15,11 @@ from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from ..functions import vectors
 from ..plans import filters, postings_algebra
+from .corpus import numbered
 
 #: Queries to a batch; more are searched batch by batch.
 BATCH = 4096
-#: More different filters than this in a batch are tested on tag matrices instead of in one predicate.
+#: More different filters than this in a batch are tested on bitmaps of their tags instead of in one predicate.
 MAX_FILTERS = 256
 _LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
@@ -33,15 +34,21 @@ def filter_predicate(texts: list[str], fid: Column, tags: Column) -> Column:
     return F.coalesce(out, F.lit(False)) if out is not None else F.lit(False)
 
 
+def _parts(queries: DataFrame) -> list[DataFrame]:
+    """The queries in batches of about ``BATCH``."""
+    parts = max(1, -(-queries.count() // BATCH))
+    return [queries if parts == 1 else queries.filter(F.pmod(F.xxhash64("qid"), F.lit(parts)) == b) for b in range(parts)]
+
+
 def _batches(queries: DataFrame) -> list[tuple[DataFrame, list[str]]]:
     """The queries in batches with ``fid``, and each batch's different filters."""
-    n = queries.count()
-    out = []
-    for b in range(max(1, -(-n // BATCH))):
-        part = queries if n <= BATCH else queries.filter(F.pmod(F.xxhash64("qid"), F.lit(-(-n // BATCH))) == b)
-        texts = sorted(r[0] for r in part.select(F.coalesce("filter", F.lit(""))).distinct().collect())  # BATCH texts at most, about
-        held = F.create_map(*[x for k, t in enumerate(texts) for x in (F.lit(t), F.lit(k))]) if texts else F.create_map()
-        out.append((part.withColumn("fid", F.element_at(held, F.coalesce("filter", F.lit(""))) if texts else F.lit(0)), texts))
+    out, mark = [], "\x1f"  # no filter that can be read holds the mark
+    for part in _parts(queries):
+        text = F.coalesce("filter", F.lit(""))
+        texts = sorted(r[0] for r in part.select(text).distinct().collect())  # BATCH texts at most, about
+        # one literal, however many filters there are
+        place = F.array_position(F.split(F.lit(mark.join(texts)), mark), text) - 1
+        out.append((part.withColumn("fid", place.cast("int")), texts))
     return out
 
 
@@ -118,7 +125,7 @@ def topk(docs: DataFrame, queries: DataFrame, f16: bool = True, shard_col: str |
 def topk_blocks(docs: DataFrame, queries: DataFrame, f16: bool = True) -> DataFrame:
     """The same results as :func:`topk`, scored a block of documents against all queries at once.
 
-    A task tests the filters on a matrix of its documents and the filters' tags, multiplies its documents' matrix with
+    A task tests the filters on bitmaps of its documents, one for each of their tags, multiplies its documents' matrix with
     the queries' and keeps each query's ``k`` best over all its blocks, so it hands on
     no more rows than the queries ask for.  With half-precision inputs the sums are
     exact in doubles (scores below 32), so their order doesn't matter.
@@ -129,13 +136,14 @@ def topk_blocks(docs: DataFrame, queries: DataFrame, f16: bool = True) -> DataFr
     ship(docs.sparkSession)
 
     parts = []
-    for part, texts in _batches(queries):
-        held = part.select("qid", F.col("vec").cast("array<double>").alias("vec"), "k", "fid").orderBy("qid").collect()  # a batch
+    for part in _parts(queries):
+        held = part.select("qid", F.col("vec").cast("array<double>").alias("vec"), "k", F.coalesce("filter", F.lit("")).alias("filter")).collect()  # a batch
         if not held:
             continue
         rows = docs.select("doc_id", F.col("vec").cast("array<double>").alias("vec"), F.col("tags").cast("array<bigint>").alias("tags"))
-        trees = [filters.flatten(filters.parse(t)) for t in texts]
-        run = block_top_k([r["vec"] for r in held], trees, [r["fid"] for r in held], [r["k"] for r in held], [r["qid"] for r in held], f16)
+        fids = {t: k for k, t in enumerate(sorted({r["filter"] for r in held}))}
+        trees = [filters.flatten(filters.parse(t)) for t in fids]
+        run = block_top_k([r["vec"] for r in held], trees, [fids[r["filter"]] for r in held], [r["k"] for r in held], [r["qid"] for r in held], f16)
         found = rows.mapInArrow(run, "qid long, k int, doc_id long, score double")
         parts.append(rank(found, max(r["k"] for r in held)).select("qid", "rank", "doc_id", "score"))
     if not parts:
@@ -150,7 +158,6 @@ def fold(best: DataFrame, more: DataFrame, max_k: int) -> DataFrame:
 
 def cycle(queries: DataFrame, n: int) -> DataFrame:
     """``n`` queries: number i is the stored one at place i modulo their number; ``qid`` runs from 0 on."""
-    order = Window.orderBy("qid")  # a query file, not a corpus
-    held = queries.withColumn("_at", F.row_number().over(order) - 1)
+    held = numbered(queries, "qid", name="_at")
     size = queries.count()
-    return queries.sparkSession.range(n).withColumnRenamed("id", "_i").join(F.broadcast(held), F.pmod(F.col("_i"), F.lit(max(1, size))) == F.col("_at")).withColumn("qid", F.col("_i")).drop("_i", "_at")
+    return queries.sparkSession.range(n).withColumnRenamed("id", "_i").join(held, F.pmod(F.col("_i"), F.lit(max(1, size))) == F.col("_at")).withColumn("qid", F.col("_i")).drop("_i", "_at")

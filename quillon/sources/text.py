@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.corpus import numbered
 from ..plans import filters, json_filter
 from ..runtime import ship
 
@@ -42,12 +43,11 @@ def assign_filters(queries: DataFrame, fids: DataFrame, seed: int = 1) -> DataFr
     """``qid``, ``fid``: one to one if there are as many, else by a seeded hash of the query."""
     n, m = queries.count(), fids.count()
     if n == m:
-        place = lambda df, c: df.select(c, (F.row_number().over(Window.orderBy(c)) - 1).alias("_at"))
-        return place(queries, "qid").join(place(fids, "fid"), "_at").select("qid", "fid")
+        return numbered(queries.select("qid"), "qid", name="_at").join(numbered(fids.select("fid"), "fid", name="_at"), "_at").select("qid", "fid")
     if not m:
         return queries.select("qid", F.lit(None).cast("long").alias("fid"))
-    held = fids.select("fid", (F.row_number().over(Window.orderBy("fid")) - 1).alias("_at"))
-    return queries.select("qid", F.pmod(F.xxhash64("qid", F.lit(seed)), F.lit(m)).alias("_at")).join(F.broadcast(held), "_at").select("qid", "fid")
+    held = numbered(fids.select("fid"), "fid", name="_at")
+    return queries.select("qid", F.pmod(F.xxhash64("qid", F.lit(seed)), F.lit(m)).alias("_at")).join(held, "_at").select("qid", "fid")
 
 
 def read_topk(spark: SparkSession, path: str, queries: int) -> DataFrame:

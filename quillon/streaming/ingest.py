@@ -76,12 +76,22 @@ def open_loop(service: DataFrame, rate: float, lanes: str = "lane") -> DataFrame
     return service.groupBy(lanes).applyInPandas(run, more)
 
 
-def open_loop_sql(service: DataFrame, rate: float, lanes: str = "lane") -> DataFrame:
-    """The same queue as window sums: end(i) = S(i) + max over j <= i of (arrival(j) - S(j - 1))."""
+def open_loop_sql(service: DataFrame, rate: float, lanes: str = "lane", width: int = 65536) -> DataFrame:
+    """The same queue as window sums: end(i) = S(i) + max over j <= i of (arrival(j) - S(j - 1)).
+
+    Sums and maxima are taken in ranges of ``width`` places and carried from range to
+    range over the ranges' totals, so no task reads a whole lane.  ``i`` counts a
+    lane's requests from 0 on.
+    """
     from pyspark.sql import Window
 
-    w = Window.partitionBy(lanes).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    arrival = F.col("i") * 1000.0 / rate
-    s = service.withColumns({"arrival_ms": arrival, "_s": F.sum("service_ms").over(w)})
-    s = s.withColumn("end_ms", F.col("_s") + F.max(F.col("arrival_ms") - (F.col("_s") - F.col("service_ms"))).over(w))
-    return s.withColumns({"start_ms": F.col("end_ms") - F.col("service_ms"), "latency_ms": F.col("end_ms") - F.col("arrival_ms")}).drop("_s")
+    ranges = Window.partitionBy(lanes).orderBy("_r")
+    earlier, inside = ranges.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(lanes, "_r").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    s = service.withColumns({"arrival_ms": F.col("i") * 1000.0 / rate, "_r": F.floor(F.col("i") / width)})
+    totals = s.groupBy(lanes, "_r").agg(F.sum("service_ms").alias("_t"))
+    totals = totals.select(lanes, "_r", F.coalesce(F.sum("_t").over(earlier), F.lit(0.0)).alias("_before"))
+    s = s.join(totals, [lanes, "_r"]).withColumn("_s", F.col("_before") + F.sum("service_ms").over(inside))
+    s = s.withColumn("_lead", F.max(F.col("arrival_ms") - (F.col("_s") - F.col("service_ms"))).over(inside))
+    leads = s.groupBy(lanes, "_r").agg(F.max("_lead").alias("_lead_r")).select(lanes, "_r", F.max("_lead_r").over(earlier).alias("_carried"))
+    s = s.join(leads, [lanes, "_r"]).withColumn("end_ms", F.col("_s") + F.greatest("_lead", "_carried"))
+    return s.withColumns({"start_ms": F.col("end_ms") - F.col("service_ms"), "latency_ms": F.col("end_ms") - F.col("arrival_ms")}).drop("_r", "_before", "_s", "_lead", "_carried")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.sources import binary, text
-from quillon.operators import quality, search, stats, synthetic, tables
+from quillon.operators import corpus, quality, search, stats, synthetic, tables
 from quillon.plans import filters
 from quillon.plans.filters import FilterSyntaxError
 from quillon.streaming import ingest
@@ -228,3 +228,22 @@ def test_compiled_filters(spark):
     assert got[2].ast is None and got[2].problem and got[2].sound is None
     assert {(x.op, x.nodes) for x in got[0]["shape"]} == {("AND", 1), ("NOT", 1)}
     assert quality.compiled(rows.limit(0)).collect() == []
+
+
+def test_numbered_rows(spark):
+    rows = [("a" if i % 3 else None, i * 7) for i in range(40)] + [("a", None)]
+    got = corpus.numbered(spark.createDataFrame(rows, "lane string, key long"), "key", ["lane"], width=10).collect()
+    for lane in ("a", None):
+        keys = sorted((r.key for r in got if r.lane == lane), key=lambda k: (k is not None, k))
+        assert [r.key for r in sorted((r for r in got if r.lane == lane), key=lambda r: r.i)] == keys
+        assert sorted(r.i for r in got if r.lane == lane) == list(range(len(keys)))
+    assert corpus.numbered(spark.createDataFrame([], "key long"), "key").collect() == []
+
+
+def test_open_loop_ranges(spark):
+    rows = [(lane, i, float((i * 37 + len(lane)) % 23)) for lane in ("x", "yy") for i in range(50)]
+    service = spark.createDataFrame(rows, "lane string, i long, service_ms double")
+    walked = {(r.lane, r.i): r.end_ms for r in ingest.open_loop(service, 90.0).collect()}
+    for width in (1, 7, 1000):
+        summed = {(r.lane, r.i): r.end_ms for r in ingest.open_loop_sql(service, 90.0, width=width).collect()}
+        assert summed == pytest.approx(walked)
