@@ -14,7 +14,7 @@ import zlib
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -47,19 +47,21 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = tokens.DE
     schema = _with(docs.select(id_col).schema, piece="integer", start="long", length="long", ids_crc32="long")
     end = np.array([end_id], "<u4").tobytes()
 
-    def cut(frames):
+    def cut(batches):
         encode = tokens.encoder(tokenizer).ids
-        for f in frames:
-            rows = []
-            for key, text in zip(f["_id"], f["_text"], strict=True):
+        for b in batches:
+            at, rows = [], []
+            for i, text in enumerate(b.column(1).to_pylist()):
                 ids = encode(text) + end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    rows.append((None if pd.isna(key) else int(key), k, at // 4, len(part) // 4, zlib.crc32(part)))
-            out = pd.DataFrame(rows, columns=[id_col, "piece", "start", "length", "ids_crc32"])
-            yield out.astype({id_col: "Int64"})
+                for k, start in enumerate(range(0, len(ids), 4 * capacity)):
+                    part = ids[start : start + 4 * capacity]
+                    at.append(i)
+                    rows.append((k, start // 4, len(part) // 4, zlib.crc32(part)))
+            of = zip(*rows, strict=True) if rows else [[]] * 4
+            made = [pa.array(x, kind) for x, kind in zip(of, (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *made], names=schema.names)
 
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInPandas(cut, schema)
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(cut, schema)
 
 
 def next_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
@@ -192,10 +194,10 @@ def local_search(lengths: np.ndarray, bins: np.ndarray, capacity: int) -> tuple[
     return where, steps
 
 
-def pack_frame(f: pd.DataFrame, capacity: int) -> pd.DataFrame:
+def pack_table(t: pa.Table, capacity: int) -> pa.Table:
     """Columns ``_bin`` (from 0), ``offset`` and ``_loose`` (whether the bin is one of the least filled) added to rows with ``length``."""
-    f = f.sort_values(["length", *[c for c in f.columns if c != "length"]], ascending=[False] + [True] * (len(f.columns) - 1), kind="stable").reset_index(drop=True)
-    n = f["length"].to_numpy(np.int64)
+    t = t.sort_by([("length", "descending"), *[(c, "ascending") for c in t.column_names if c != "length"]])
+    n = t.column("length").to_numpy().astype(np.int64)
     bins, _ = local_search(n, next_fit(n, capacity), capacity)
     bins = np.unique(bins, return_inverse=True)[1].astype(np.int64) if len(bins) else bins
     order = np.argsort(bins, kind="stable")
@@ -208,7 +210,9 @@ def pack_frame(f: pd.DataFrame, capacity: int) -> pd.DataFrame:
     room = capacity - np.bincount(bins, n).astype(np.int64) if len(bins) else bins
     loosest = np.argsort(-room, kind="stable")[: min(LOOSE, len(room) // 2)]  # so that every level has fewer pieces
     loosest = loosest[room[loosest] > 0]
-    return f.assign(_bin=bins, offset=offset, _loose=np.isin(bins, loosest))
+    for name, x in (("_bin", bins), ("offset", offset), ("_loose", np.isin(bins, loosest))):
+        t = t.append_column(name, pa.array(x))
+    return t
 
 
 def pack(parts: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
@@ -222,8 +226,9 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Data
     names = parts.columns
     schema = _with(parts.schema, _bin="long", offset="long", _loose="boolean", _g="integer")
 
-    def pack_group(key, f):
-        return pack_frame(f.drop(columns="_g"), capacity).assign(_g=key[0])
+    def pack_group(t):
+        g = t.column("_g")
+        return pack_table(t.drop_columns("_g"), capacity).append_column("_g", g)  # one value
 
     done, rest, level = [], scratch.stash(parts, "parts"), 0
     while True:
@@ -232,7 +237,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Data
         dealt = rest.withColumn("_g", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
         # the rows are slim but the search isn't: a task for each group, about, which the session wouldn't give by size
         tasks = min(groups, 4 * scratch.partitions(parts.sparkSession))
-        packed = dealt.repartition(tasks, "_g").groupBy("_g").applyInPandas(pack_group, schema)
+        packed = dealt.repartition(tasks, "_g").groupBy("_g").applyInArrow(pack_group, schema)
         # unique over bins, groups and levels
         number = ((F.col("_bin") * groups + F.col("_g")) * LEVELS + level).alias("sequence_id")
         if groups == 1 or level == LEVELS - 1:

@@ -227,3 +227,11 @@ def test_mix(spark):
     assert mixing.mix(df.limit(0)).count() == 0
     copies = Counter(r.doc_id for r in mixing.mix_documents(df).collect())
     assert copies == Counter(r.doc_id for r in rows)
+
+
+def test_large_ids_beside_nulls(spark):
+    big = 2**53 + 1
+    docs = spark.createDataFrame([(big, "a b c"), (None, "d"), (-big, None), (big + 2, "x " * 9000)], "doc_id long, text string")
+    rows = packing.pack_documents(docs).collect()
+    assert sorted({r.doc_id for r in rows}, key=repr) == sorted([big, None, -big, big + 2], key=repr)
+    assert [r.piece for r in sorted(rows, key=lambda r: r.piece) if r.doc_id == big + 2] == list(range(sum(r.doc_id == big + 2 for r in rows))) and len(rows) > 4
