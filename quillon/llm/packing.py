@@ -226,18 +226,35 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Data
     names = parts.columns
     schema = _with(parts.schema, _bin="long", offset="long", _loose="boolean", _g="integer")
 
-    def pack_group(t):
-        g = t.column("_g")
-        return pack_table(t.drop_columns("_g"), capacity).append_column("_g", g)  # one value
+    def pack_groups(batches):  # sorted by group
+        held = []
+
+        def packed_group():
+            t = pa.Table.from_batches(held)
+            g = t.column("_g")
+            return pack_table(t.drop_columns("_g"), capacity).append_column("_g", g).to_batches()  # one value
+
+        for b in batches:
+            g = b.column(b.num_columns - 1).to_numpy(zero_copy_only=False)
+            ends = [*(np.flatnonzero(np.diff(g)) + 1).tolist(), b.num_rows]
+            for lo, hi in zip([0, *ends], ends):
+                if lo == hi:
+                    continue
+                if held and held[-1].column(b.num_columns - 1)[0].as_py() != g[lo]:
+                    yield from packed_group()
+                    held = []
+                held.append(b.slice(lo, hi - lo))
+        if held:
+            yield from packed_group()
 
     done, rest, level = [], scratch.stash(parts, "parts"), 0
     while True:
         groups = max(1, -(-rest.count() // group))
         # the table is written, so a row's place stays the same if a task runs again
         dealt = rest.withColumn("_g", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
-        # the rows are slim but the search isn't: a task for each group, about, which the session wouldn't give by size
+        # the rows are slim but the search isn't: as many groups to each task, which neither sizes nor hashes would give
         tasks = min(groups, 4 * scratch.partitions(parts.sparkSession))
-        packed = dealt.repartition(tasks, "_g").groupBy("_g").applyInArrow(pack_group, schema)
+        packed = dealt.repartitionById(tasks, F.col("_g") % tasks).sortWithinPartitions("_g").mapInArrow(pack_groups, schema)
         # unique over bins, groups and levels
         number = ((F.col("_bin") * groups + F.col("_g")) * LEVELS + level).alias("sequence_id")
         if groups == 1 or level == LEVELS - 1:
