@@ -116,7 +116,7 @@ def test_small_blocks(small):
 
 
 #: The search queries whose pairs are scored in blocks.
-IN_BLOCKS = ["inner_product"]
+IN_BLOCKS = ["inner_product", "score_only"]
 
 
 @pytest.mark.parametrize("name", IN_BLOCKS)
