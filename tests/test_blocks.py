@@ -116,7 +116,7 @@ def test_small_blocks(small):
 
 
 #: The search queries whose pairs are scored in blocks.
-IN_BLOCKS = ["inner_product", "score_only", "score_f16", "score_all_pairs", "truth_fp32", "recall_summary", "recall_at_k", "topk_shard_ratio"]
+IN_BLOCKS = ["inner_product", "score_only", "score_f16", "score_all_pairs", "truth_fp32", "recall_summary", "recall_at_k", "topk_shard_ratio", "topk_k_exceeds"]
 
 
 @pytest.mark.parametrize("name", IN_BLOCKS)
