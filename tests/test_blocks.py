@@ -124,3 +124,8 @@ def test_pairs_are_scored_in_blocks(spark, sf_dir, name):
     """No operator of the plan sums up a pair in a row's expression, and only blocks meet in the nested-loop join."""
     plan = catalogue.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "d_block" in plan and "q_block" in plan and "aggregate(zip_with" not in plan
+
+
+def test_cached_truth_is_scored_in_blocks(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(search, "score", None)  # pair by pair
+    assert catalogue.QUERIES["truth_cache"](spark, sf_dir).count() > 0
