@@ -116,7 +116,7 @@ def test_small_blocks(small):
 
 
 #: The search queries whose pairs are scored in blocks.
-IN_BLOCKS = ["inner_product", "score_only", "score_f16", "score_all_pairs", "truth_fp32", "recall_summary", "recall_at_k", "topk_shard_ratio", "topk_k_exceeds", "filtered_scores", "topk_sharded", "topk_filtered", "topk_per_query_k", "truth_batch", "topk_stream_merge", "truth_f16"]
+IN_BLOCKS = ["inner_product", "score_only", "score_f16", "score_all_pairs", "truth_fp32", "recall_summary", "recall_at_k", "topk_shard_ratio", "topk_k_exceeds", "filtered_scores", "topk_sharded", "topk_filtered", "topk_per_query_k", "truth_batch", "topk_stream_merge", "truth_f16", "topk_partial_shards"]
 
 
 @pytest.mark.parametrize("name", IN_BLOCKS)
