@@ -115,6 +115,35 @@ def test_small_blocks(small):
         assert got == want
 
 
+def block_of(table):
+    import pyarrow as pa
+
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def test_totals_need_no_pairs(monkeypatch):
+    """Common vectors are summed up by block; only those that could overflow are scored pair by pair."""
+    import pyarrow as pa
+
+    r, scored, plainly = random.Random(5), [], blocks.scores_of
+    monkeypatch.setattr(blocks, "scores_of", lambda q, v, *more: scored.append(len(q) * len(v)) or plainly(q, v, *more))
+    docs = [[r.uniform(-1, 1) for _ in range(4)] for _ in range(50)] + [[float("inf"), 0.0, 1.0, 1.0], [1.0] * 3]
+    queries = [[r.uniform(-1, 1) for _ in range(4)] for _ in range(20)] + [[float("nan")] * 4]
+    vec = pa.list_(pa.float64())
+    d = block_of(pa.table({"doc_id": range(52), "vec": pa.array(docs, vec), "tags": pa.array([[k % 2] for k in range(52)], pa.list_(pa.int64()))}))
+    q = block_of(pa.table({"qid": range(21), "vec": pa.array(queries, vec), "filter": ["1" if k % 2 else "" for k in range(21)]}))
+    pairs = pa.RecordBatch.from_pydict({"d_number": [0], "d_block": [d], "q_number": [0], "q_block": [q]})
+    got = {x["qid"]: x for b in blocks.block_totals(False)([pairs]) for x in b.to_pylist()}
+    for i, v in enumerate(queries):
+        held = [w for k, w in enumerate(docs) if i % 2 == 0 or k % 2]
+        want = sum(sum(a * b for a, b in zip(v, w, strict=True)) for w in held if len(w) == 4)
+        assert got[i]["pairs"] == len(held) and got[i]["total"] == pytest.approx(want, rel=1e-12, nan_ok=True)
+    assert sum(scored) == 10 + 51  # the infinite vector with the queries that match all; the query without numbers with all of its length
+
+
 #: The search queries whose pairs are scored in blocks.
 IN_BLOCKS = ["inner_product", "score_only", "score_f16", "score_all_pairs", "truth_fp32", "recall_summary", "recall_at_k", "topk_shard_ratio", "topk_k_exceeds", "filtered_scores", "topk_sharded", "topk_filtered", "topk_per_query_k", "truth_batch", "topk_stream_merge", "truth_f16", "topk_partial_shards"]
 
