@@ -158,3 +158,25 @@ def test_pairs_are_scored_in_blocks(spark, sf_dir, name):
 def test_cached_truth_is_scored_in_blocks(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(search, "score", None)  # pair by pair
     assert catalogue.QUERIES["truth_cache"](spark, sf_dir).count() > 0
+
+
+@pytest.mark.parametrize("f16", [True, False])
+def test_large_results_rank_slice_by_slice(spark, tables, f16, monkeypatch):
+    docs, queries = tables
+    for name, n in (("PART", 16), ("SLICED", 3), ("LEAVE", 7)):
+        monkeypatch.setattr(blocks, name, n)
+    want = search.topk_rows(docs, queries, f16)
+    got = search.topk(docs, queries, f16)
+    assert got.schema.simpleString() == want.schema.simpleString()
+    assert plain(got.collect()) == plain(want.collect())
+    assert "slice" in got._jdf.queryExecution().optimizedPlan().toString()
+    again = queries.union(queries.filter("qid % 3 = 0"))  # ids that repeat are ranked together
+    assert plain(search.topk(docs, again, f16).collect()) == plain(search.topk_rows(docs, again, f16).collect())
+    monkeypatch.setattr(blocks, "SLICE", 50)  # more documents than a slice may hold
+    assert plain(search.topk(docs, queries, f16).collect()) == plain(want.collect())
+
+
+def test_exceeding_k_needs_no_window(spark, sf_dir):
+    """Spark's window neither sorts nor ranks a result that holds nearly all pairs."""
+    plan = catalogue.QUERIES["topk_k_exceeds"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "slice" in plan and "q_block" in plan
