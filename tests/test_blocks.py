@@ -180,3 +180,12 @@ def test_exceeding_k_needs_no_window(spark, sf_dir):
     """Spark's window neither sorts nor ranks a result that holds nearly all pairs."""
     plan = catalogue.QUERIES["topk_k_exceeds"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "slice" in plan and "q_block" in plan
+
+
+def test_scores_of_one_split_come_from_many_tasks(spark):
+    """All pairs are dealt to all cores, however few splits the documents have."""
+    docs = spark.range(5000).coalesce(1).select(F.col("id").alias("doc_id"), F.array(F.col("id") / 7.0).alias("vec"), F.array(F.lit(1).cast("long")).alias("tags"))
+    queries = spark.createDataFrame([(q, [1.0], "") for q in range(3)], "qid long, vec array<double>, filter string")
+    found = search.scores(docs, queries).withColumn("task", F.spark_partition_id())
+    got = found.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("task").alias("tasks")).collect()[0]
+    assert got.n == 15_000 and got.tasks > 1
