@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from collections import Counter
 from functools import reduce
 
 import numpy as np
@@ -79,30 +80,31 @@ def next_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
     return np.array(bins, np.int64)
 
 
-def _reach(own: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """For every size the largest that one document, and that one or two documents, of a bin have up to it (0: none)."""
-    lengths, times = np.unique(own, return_counts=True)
-    one = np.zeros(capacity + 1, np.int64)
-    one[lengths] = lengths
-    two = one.copy()
+def _reach(own: list[int], capacity: int, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """For every size the largest that one document, and that one or two documents, of a bin (their lengths) have up to it (0: none)."""
+    lengths = sorted(set(own))
     # a bin has few different lengths (n of them sum up to n * (n + 1) / 2 at least), so all pairs are tried
-    sums = np.add.outer(lengths, lengths)
-    np.fill_diagonal(sums, np.where(times > 1, 2 * lengths, 0))
-    sums = sums[sums <= capacity]
-    two[sums] = sums
-    return np.maximum.accumulate(one), np.maximum.accumulate(two)
+    sums = {a + b for k, a in enumerate(lengths) for b in lengths[k + 1 :]}
+    if len(lengths) < len(own):
+        sums.update(2 * a for a, times in Counter(own).items() if times > 1)
 
+    def steps(sizes: list[int]) -> np.ndarray:
+        at = np.array([0, *sizes, capacity + 1], kind)
+        return np.repeat(at[:-1], np.diff(at))
 
-def _taken(own: list[int], lengths: np.ndarray, total: int) -> list[int]:
+    return steps(lengths), steps(sorted({x for x in sums if x <= capacity}.union(lengths)))
+
+
+def _taken(own: list[int], lengths: list[int], total: int) -> list[int]:
     """One piece, else two pieces, of ``own`` with that total length."""
     at: dict[int, int] = {}
     for i in own:
-        n = int(lengths[i])
+        n = lengths[i]
         if n == total:
             return [i]
         at.setdefault(n, i)
     for i in own:
-        j = at.get(total - int(lengths[i]))
+        j = at.get(total - lengths[i])
         if j is not None and j != i:
             return [j, i]
     raise AssertionError("no such pieces")
@@ -120,14 +122,25 @@ def local_search(lengths: np.ndarray, bins: np.ndarray, capacity: int) -> tuple[
     lengths, where = lengths.astype(np.int64), bins.astype(np.int64).copy()
     if not len(where):
         return where, 0
+    size_of = lengths.tolist()
     fill = np.bincount(where, lengths).astype(np.int64)
     room = capacity - fill
     least, used, steps = -(-int(lengths.sum()) // capacity), int((fill > 0).sum()), 0
     own: dict[int, list[int]] = {}
     for i in np.flatnonzero(room[where] > 0).tolist():
         own.setdefault(int(where[i]), []).append(i)
+    kind = np.int32 if capacity < 1 << 15 else np.int64  # a gain is below 2 * capacity ** 2
     # of full bins nothing can change: they leave these two lists when those are made anew
     items, targets = np.array([i for b in own.values() for i in b], np.int64), np.array(list(own), np.int64)
+    slot = np.empty(len(where), np.int64)
+
+    def listed() -> tuple[np.ndarray, np.ndarray]:
+        """Of every item its length, and the room that its bin would have without it."""
+        slot[items] = np.arange(len(items))
+        back = lengths[items]
+        return back.astype(kind), (room[where[items]] + back).astype(kind)
+
+    back, without = listed()
     todo = [(int(fill[b]), b) for b in own]
     heapq.heapify(todo)
     stale = changed = 0
@@ -144,50 +157,57 @@ def local_search(lengths: np.ndarray, bins: np.ndarray, capacity: int) -> tuple[
         if size != fill[src]:
             heapq.heappush(todo, (int(fill[src]), src))
             continue
-        while own[src]:
+        mine = own[src]
+        without[slot[mine]] = lengths[mine]  # the bin itself is no target
+        while mine:
             if stale > 256:
                 items, targets, stale = items[room[where[items]] > 0], targets[(room[targets] > 0) & (fill[targets] > 0)], 0
-            one, two = _reach(lengths[own[src]], capacity)
-            mine, room[src] = room[src], 0  # the bin itself is no target
-            free = room[targets]
+                back, without = listed()
+                without[slot[mine]] = lengths[mine]
+            one, two = _reach([size_of[i] for i in mine], capacity, kind)
+            left, room[src] = room[src], 0
+            free = room[targets].astype(kind)
+            room[src] = left
+            spare = kind(room[src])  # what a bin of this fill has left
             moved = one[free]
-            gain = moved * (capacity - free - fill[src] + moved)
+            gain = moved * (moved - free + spare)
             best, b = -1, -1
             if len(gain) and gain.max() > 0:
                 b = int(gain.argmax())
                 best = int(gain[b])
-            free = room[where[items]]
-            back = lengths[items]
-            out = two[np.minimum(free + back, capacity)]
-            more = out - back
-            gain = np.where(more > 0, more * (capacity - free - fill[src] + more), 0)
+            out = two[without]
+            gain = np.maximum(out - back, 0)
+            gain *= out - without + spare
             j = int(gain.argmax()) if len(gain) else -1
-            room[src] = mine
             if j >= 0 and gain[j] > max(best, 0):
                 piece, total = int(items[j]), int(out[j])
-                dst, gone, come = int(where[piece]), _taken(own[src], lengths, total), [piece]
+                dst, gone, come = int(where[piece]), _taken(mine, size_of, total), [piece]
             elif best > 0:
                 dst, total = int(targets[b]), int(moved[b])
-                gone, come = _taken(own[src], lengths, total), []
+                gone, come = _taken(mine, size_of, total), []
             else:
                 break
+            theirs = own[dst]
             for i in gone:
-                own[src].remove(i)
-                own[dst].append(i)
+                mine.remove(i)
+                theirs.append(i)
                 where[i] = dst
             for i in come:
-                own[dst].remove(i)
-                own[src].append(i)
+                theirs.remove(i)
+                mine.append(i)
                 where[i] = src
-            d = total - sum(int(lengths[i]) for i in come)
+            d = total - sum(size_of[i] for i in come)
             fill[src] -= d
             fill[dst] += d
             room[src] += d
             room[dst] -= d
+            without[slot[come]] = lengths[come]
+            without[slot[theirs]] = lengths[theirs] + room[dst]
             stale += room[dst] == 0
             steps += 1
             changed = 1
-        if not own[src]:
+        without[slot[mine]] = lengths[mine] + room[src]
+        if not mine:
             used -= 1
             room[src] = 0
             stale += 1

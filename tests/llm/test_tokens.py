@@ -30,6 +30,31 @@ def test_ids_equal_the_tokenizer_on_any_text(text):
     assert np.frombuffer(tokens.encoder().ids(text), "<u4").tolist() == exact(text)
 
 
+def test_ids_equal_the_tokenizer_on_every_character_of_the_basic_plane():
+    chars = [chr(i) for i in range(1, 0x10000) if not (0xD800 <= i < 0xE000 or 0x1C <= i < 0x20)]
+    for k in range(0, len(chars), 1000):
+        for form in ("a{}b", "{}.", "{}'s", "1{}"):
+            text = " ".join(form.format(c) for c in chars[k : k + 1000])
+            assert np.frombuffer(tokens.encoder().ids(text), "<u4").tolist() == exact(text), (form, k)
+
+
+def test_chunks_that_recur_are_encoded_once(monkeypatch):
+    """A full cache must not forget frequent chunks; it stays bounded, and what it holds stays right."""
+    monkeypatch.setattr(tokens, "CACHE", 50)
+    coder, calls = tokens.WordBPE(public_tokenizers.path(tokens.DEFAULT)), Counter()
+    merge = coder.merge
+    coder.merge = lambda raw: (calls.update([raw]), merge(raw))[1]
+    words = ["".join(chr(97 + int(d)) for d in f"{k:04d}") for k in range(1000)]
+    for k in range(0, 1000, 10):
+        text = " ".join(["frequent", *words[k : k + 10], "frequent"])
+        assert np.frombuffer(coder.ids(text), "<u4").tolist() == exact(text)
+        assert len(coder.cache) <= 50
+    assert calls[b"frequent\xff"] == 1 and len(calls) == 1001
+    assert len(coder.cache) + len(coder.cache.old) <= 100
+    coder.ids("x" * 65)
+    assert "x" * 65 not in coder.cache
+
+
 def frame(spark, texts):
     return spark.createDataFrame([(i, t, f"s{i % 3}" if i % 4 else None, 1) for i, t in enumerate(texts)], "doc_id long, text string, source string, n_tokens int")
 
@@ -186,6 +211,16 @@ def test_search_packs_as_well_as_best_fit(spark, sf_dir):
         assert steps > 0 and used < max(start) + 1 and used <= best_fit_decreasing(sizes.tolist(), 4096)
 
 
+def test_search_counts_gains_beyond_32_bits():
+    r = np.random.default_rng(5)
+    for unit in (1, 1000):  # the same steps in any unit
+        sizes = np.sort(r.integers(10, 101, 200))[::-1] if unit == 1 else sizes * 1000
+        end, steps = packing.local_search(sizes, packing.next_fit(sizes, 100 * unit), 100 * unit)
+        assert np.bincount(end, sizes).max() <= 100 * unit
+        first = (end, steps) if unit == 1 else first
+    assert steps == first[1] > 0 and (end == first[0]).all()
+
+
 def test_search_empties_a_bin_that_best_fit_leaves():
     sizes, bins = np.array([6, 6, 4, 4, 4, 3, 3]), np.array([0, 1, 0, 2, 2, 1, 3])  # 30 of capacity 10 in four bins
     end, steps = packing.local_search(sizes, bins, 10)
